@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -11,65 +11,75 @@ from pyspark.sql import functions as F
 from depotcast.config import PRODUCTS, StockLabels
 
 
+def quoted(*values: str) -> str:
+    """SQL string literals, comma-separated."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
 @dataclass(frozen=True)
 class Measure:
     name: str
-    condition: Column
+    condition: str
 
     def total(self) -> Column:
         # a condition that is unknown (NULL operand) counts as not met
-        return F.sum(F.when(self.condition, F.col("qty")).otherwise(F.lit(0))).alias(self.name)
+        return F.expr(f"sum(CASE WHEN {self.condition} THEN qty ELSE 0 END)").alias(self.name)
 
 
 def stock_measures(labels: StockLabels) -> list[Measure]:
     """The 32 measures of a month-end stock position."""
-    status, desc = F.col("status_type"), F.col("status_desc")
-    operational = F.col("operational_flag") == labels.operational
-    maintenance = desc == labels.in_maintenance
-    sale = status == labels.sale
-    unavailable = status == labels.unavailable
-    never_general = [
-        labels.in_maintenance, labels.in_transit_new, labels.received_new, labels.between_branches,
-    ]
-    never_regulatory = never_general + [labels.collected, labels.misappropriated, labels.impounded]
 
-    def by_class(stem: str, condition: Column, column: str) -> list[Measure]:
+    def status(value: str) -> str:
+        return f"status_type = {quoted(value)}"
+
+    def desc(*values: str) -> str:
+        return f"status_desc IN ({quoted(*values)})"
+
+    def by_class(stem: str, condition: str, column: str) -> list[Measure]:
         return [
-            Measure(f"{stem}_{product}", condition & (F.col(column) == label))
+            Measure(f"{stem}_{product}", f"{condition} AND {column} = {quoted(label)}")
             for product, label in zip(PRODUCTS, labels.classes)
         ]
 
+    rented, ready, sale = status(labels.rented), status(labels.ready), status(labels.sale)
+    unavailable = status(labels.unavailable)
+    operational = f"operational_flag = {quoted(labels.operational)}"
+    maintenance = desc(labels.in_maintenance)
+    elsewhere = (
+        labels.in_maintenance, labels.in_transit_new, labels.received_new, labels.between_branches,
+    )
+    accounted = (*elsewhere, labels.collected, labels.misappropriated, labels.impounded)
     return [
-        Measure("rented_total", status == labels.rented),
-        *by_class("rented", status == labels.rented, "product_rented"),
+        Measure("rented_total", rented),
+        *by_class("rented", rented, "product_rented"),
         Measure("operational_total", operational),
-        *by_class("operational", operational & (status != labels.rented), "product_class"),
-        Measure("ready_total", status == labels.ready),
-        *by_class("ready", status == labels.ready, "product_class"),
+        *by_class("operational", f"{operational} AND NOT {rented}", "product_class"),
+        Measure("ready_total", ready),
+        *by_class("ready", ready, "product_class"),
         Measure("maintenance_total", maintenance),
         *by_class("maintenance", maintenance, "product_class"),
-        Measure("transit_new_by_desc", desc == labels.in_transit_new),
-        Measure("factory_new", status == labels.factory_new),
-        Measure("administrative", status == labels.administrative),
+        Measure("transit_new_by_desc", desc(labels.in_transit_new)),
+        Measure("factory_new", status(labels.factory_new)),
+        Measure("administrative", status(labels.administrative)),
         Measure("sale_total", sale),
-        Measure("sale_own_programme", sale & desc.isin(*labels.own_programme)),
+        Measure("sale_own_programme", f"{sale} AND {desc(*labels.own_programme)}"),
         Measure(
             "sale_direct_or_donation",
-            sale & ~desc.isin(*labels.own_programme, labels.awaiting_auction),
+            f"{sale} AND NOT {desc(*labels.own_programme, labels.awaiting_auction)}",
         ),
-        Measure("sale_awaiting_auction", sale & (desc == labels.awaiting_auction)),
-        Measure("total_loss", status == labels.total_loss),
-        Measure("stolen", status == labels.stolen),
+        Measure("sale_awaiting_auction", f"{sale} AND {desc(labels.awaiting_auction)}"),
+        Measure("total_loss", status(labels.total_loss)),
+        Measure("stolen", status(labels.stolen)),
         Measure(
             "unavailable_between_branches",
-            unavailable & desc.isin(labels.between_branches, labels.collected),
+            f"{unavailable} AND {desc(labels.between_branches, labels.collected)}",
         ),
-        Measure("unavailable_general", unavailable & ~desc.isin(*never_general)),
-        Measure("unavailable_impounded", unavailable & (desc == labels.impounded)),
-        Measure("unavailable_misappropriated", unavailable & (desc == labels.misappropriated)),
-        Measure("unavailable_regulatory", unavailable & ~desc.isin(*never_regulatory)),
-        Measure("received_new", desc == labels.received_new),
-        Measure("transit_new_by_type", status == labels.transit_new),
+        Measure("unavailable_general", f"{unavailable} AND NOT {desc(*elsewhere)}"),
+        Measure("unavailable_impounded", f"{unavailable} AND {desc(labels.impounded)}"),
+        Measure("unavailable_misappropriated", f"{unavailable} AND {desc(labels.misappropriated)}"),
+        Measure("unavailable_regulatory", f"{unavailable} AND NOT {desc(*accounted)}"),
+        Measure("received_new", desc(labels.received_new)),
+        Measure("transit_new_by_type", status(labels.transit_new)),
     ]
 
 
@@ -84,10 +94,6 @@ FLOW_MEASURES = (
 )
 
 
-def flow_measures(labels: StockLabels) -> list[Measure]:
+def measures_named(labels: StockLabels, names: Iterable[str]) -> list[Measure]:
     by_name = {m.name: m for m in stock_measures(labels)}
-    return [by_name[name] for name in FLOW_MEASURES]
-
-
-def totals(measures: Sequence[Measure]) -> list[Column]:
-    return [m.total() for m in measures]
+    return [by_name[name] for name in names]

@@ -27,6 +27,9 @@ from depotcast.operators.features import (
 from depotcast.operators.panel import recency_window
 from depotcast.runtime import ensure_checkpoint_dir, materialize
 
+# recursive steps planned together: keeps plans and generated code small
+_STEPS_PER_WRITE = 2
+
 
 @dataclass(frozen=True)
 class Training:
@@ -164,6 +167,8 @@ def recursive_forecast(model: GBTRegressionModel, training: Training) -> DataFra
         state = scored.withColumn("targets", F.array_append("targets", F.col("prediction"))).select(
             *columns
         )
+        if step % _STEPS_PER_WRITE == 0 and step < config.horizon:
+            state = materialize(state)
     ahead = F.slice("targets", F.col("known") + 1, config.horizon)
     return state.select(
         *SERIES, F.explode(F.arrays_zip(F.col("dates").alias("date"), ahead.alias("log"))).alias("step")

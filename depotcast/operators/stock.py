@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from depotcast.config import StockLabels
 from depotcast.contracts import STOCK_SNAPSHOT, require
 from depotcast.functions.dates import closing_month_end, is_month_opening, month_ends
-from depotcast.functions.measures import flow_measures, stock_measures, totals
+from depotcast.functions.measures import FLOW_MEASURES, measures_named, quoted, stock_measures
 from depotcast.runtime import materialize
 
 _KEYS = ("branch", "country", "third_party")
@@ -27,10 +28,10 @@ def stock_flow_sum(
     """
     require(snapshots, STOCK_SNAPSHOT.names, "stock snapshots")
     require(register, _KEYS, "branch register")
-    measures = flow_measures(labels)
+    measures = measures_named(labels, FLOW_MEASURES)
     monthly = snapshots.groupBy(
         closing_month_end(F.col("snapshot_ts")).alias("month_end"), "branch"
-    ).agg(*totals(measures))
+    ).agg(*[m.total() for m in measures])
     own = register.filter((F.col("country") == country) & (F.col("third_party") == 0))
     return monthly.join(own.select("branch", "country"), "branch").select(
         "month_end", "country", "branch", *[m.name for m in measures]
@@ -47,6 +48,7 @@ def stock_month_end(
     labels: StockLabels,
     latest: DataFrame | None = None,
     include_latest: bool = True,
+    measures: Sequence[str] | None = None,
 ) -> DataFrame:
     """Month-end stock: the snapshots that open a month, and the latest one if wanted.
 
@@ -54,6 +56,7 @@ def stock_month_end(
     with the end of its own month. ``latest`` is an optional one-row frame with
     the latest day, for callers that know a cheaper source than ``snapshots``.
     Branches missing from the register are added up under a NULL branch.
+    ``measures`` limits the result to some of the 32 measures.
     """
     require(snapshots, STOCK_SNAPSHOT.names, "stock snapshots")
     require(register, ("branch", "country"), "branch register")
@@ -65,10 +68,10 @@ def stock_month_end(
         is_newest = moment >= newest.cast("timestamp_ntz")
         keep = keep | is_newest
         label = F.when(is_newest, F.last_day(newest)).otherwise(label)
-    measures = stock_measures(labels)
-    names = [m.name for m in measures]
+    wanted = stock_measures(labels) if measures is None else measures_named(labels, measures)
+    names = [m.name for m in wanted]
     monthly = (
-        snapshots.filter(keep).groupBy(label.alias("month_end"), "branch").agg(*totals(measures))
+        snapshots.filter(keep).groupBy(label.alias("month_end"), "branch").agg(*[m.total() for m in wanted])
     )
     known = register.select(F.col("branch").alias("known_branch"), "country")
     # the second, tiny aggregation folds unregistered branches into one group
@@ -80,7 +83,7 @@ def stock_month_end(
 
 
 def _sale_total(labels: StockLabels) -> Column:
-    return F.sum(F.when(F.col("status_type") == labels.sale, F.col("qty")).otherwise(F.lit(0)))
+    return F.expr(f"sum(CASE WHEN status_type = {quoted(labels.sale)} THEN qty ELSE 0 END)")
 
 
 def branch_month_grid(snapshots: DataFrame, labels: StockLabels, as_of: date) -> DataFrame:

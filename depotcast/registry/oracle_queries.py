@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from depotcast.operators.features import COVARIATES, ENCODED_COLUMNS
 from depotcast.registry.spark_queries import MODEL
+from depotcast.sources.supplied import SCHEMAS
 
 _CLASSES = ("new", "semi", "used")
 
@@ -49,7 +50,7 @@ sale AS (
 INDICATOR = """
 indicator AS (
   SELECT branch, paid_on AS day, CAST(count(*) AS DOUBLE) AS mech_total,
-         avg(o_totalprice) AS mech_present, max(o_totalprice) AS mech_on_ramp
+         min(o_totalprice) AS mech_present, max(o_totalprice) AS mech_on_ramp
   FROM sale GROUP BY branch, paid_on)"""
 
 JOB = """
@@ -449,28 +450,6 @@ _SCENARIOS = "\nscenarios AS (" + "\nUNION ALL\n".join(
 
 # --- column profile -------------------------------------------------------------------
 
-# fixed values: the columns of the supplied tables and their types
-_COLUMNS = {
-    "region": "r_regionkey int, r_name string",
-    "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
-    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
-    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-              "o_orderdate timestamp_ntz, o_orderpriority string",
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
-                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
-                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
-    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
-    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
-    "embeddings": "vec_id bigint, embedding array<float>, label int",
-    "pages": "page_id bigint, url string, html string",
-    "benchmark": "item_id bigint, text string",
-    "labels": "doc_id bigint, quality int, toxic int",
-    "conversations": "conv_id bigint, turn bigint, role string, text string",
-}
-
-
 def _profile_column(table: str, ordinal: int, name: str, kind: str) -> str:
     def text(value: str) -> str:
         if kind.startswith("array"):
@@ -492,7 +471,7 @@ def _profile_column(table: str, ordinal: int, name: str, kind: str) -> str:
 
 def _profile() -> str:
     rows = []
-    for table, columns in _COLUMNS.items():
+    for table, columns in SCHEMAS.items():
         for ordinal, column in enumerate(columns.split(", "), 1):
             name, kind = column.split(" ")
             rows.append(_profile_column(table, ordinal, name, kind))

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotcast.config import BoostedConfig
-from depotcast.contracts import OPERATIONAL_COLUMNS, SALES_COLUMNS, STATIC_COLUMNS
+from depotcast.contracts import (
+    OPERATIONAL_COLUMNS,
+    RENTED_COLUMNS,
+    SALES_COLUMNS,
+    STATIC_COLUMNS,
+)
+from depotcast.functions.numbers import from_log
 from depotcast.operators import boosted, ensemble, features, flows, panel, profiles, reports
 from depotcast.operators import restrictions as restriction_ops
 from depotcast.operators import rollups, scenarios, segments, stock, wide, workshop
@@ -35,10 +41,10 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return segments.branch_segments(src.branch_register(spark, d), src.RULES)
 
 
-def _stock_month_end(spark: SparkSession, d: str) -> DataFrame:
+def _stock_month_end(spark: SparkSession, d: str, measures=None) -> DataFrame:
     return stock.stock_month_end(
         src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS,
-        latest=src.latest_snapshot(spark, d),
+        latest=src.latest_snapshot(spark, d), measures=measures,
     )
 
 
@@ -71,14 +77,29 @@ def _planning(spark: SparkSession, d: str) -> DataFrame:
     return wide.planning_table(_wide_snapshot(spark, d), _segments(spark, d))
 
 
+# Every join of the wide table is a left join on a unique key, so a query that needs only
+# some of its columns may leave the other parts out.
+
+
 def _rented(spark: SparkSession, d: str) -> DataFrame:
-    """The wide table without geography, for levels that do not need it."""
-    return _wide_snapshot(spark, d)
+    return _stock_month_end(spark, d, list(RENTED_COLUMNS))
+
+
+def _rented_by_geography(spark: SparkSession, d: str) -> DataFrame:
+    return wide.planning_table(_rented(spark, d), _segments(spark, d))
+
+
+def _for_panel(spark: SparkSession, d: str) -> DataFrame:
+    stock_measures = [c for c in OPERATIONAL_COLUMNS if not c.startswith("mech_")]
+    parts = _stock_month_end(spark, d, stock_measures)
+    for part in (_demand(spark, d), _workshop(spark, d)):
+        parts = parts.join(part, ["month_end", "branch"], "left")
+    return wide.planning_table(parts, _segments(spark, d))
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
     columns = ["month_end", "branch", *STATIC_COLUMNS, *OPERATIONAL_COLUMNS, *SALES_COLUMNS]
-    return panel.clean_wide(_planning(spark, d).select(*columns))
+    return panel.clean_wide(_for_panel(spark, d).select(*columns))
 
 
 def _panel_long(spark: SparkSession, d: str) -> DataFrame:
@@ -192,27 +213,27 @@ def rollup_country(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rollup_region(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.rollup(_planning(spark, d), ["country", "region", "region_consolidated"])
+    return rollups.rollup(_rented_by_geography(spark, d), ["country", "region", "region_consolidated"])
 
 
 def rollup_state(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.rollup(_planning(spark, d), ["country", "state"])
+    return rollups.rollup(_rented_by_geography(spark, d), ["country", "state"])
 
 
 def rollup_pop_rank(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.rollup(_planning(spark, d), ["country", "pop_letter"], renamed={"pop_letter": "rank"})
+    return rollups.rollup(_rented_by_geography(spark, d), ["country", "pop_letter"], renamed={"pop_letter": "rank"})
 
 
 def rollup_urban(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.rollup(_planning(spark, d), ["country", "urban_tier"])
+    return rollups.rollup(_rented_by_geography(spark, d), ["country", "urban_tier"])
 
 
 def rollup_population(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.rollup(_planning(spark, d), ["country", "population"])
+    return rollups.rollup(_rented_by_geography(spark, d), ["country", "population"])
 
 
 def rollup_all_levels(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.rollup_all_levels(_planning(spark, d))
+    return rollups.rollup_all_levels(_rented_by_geography(spark, d))
 
 
 def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -278,7 +299,7 @@ def share_by_urban_tier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def per_capita(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(reports.per_capita(_planning(spark, d)), 6, "per_capita")
+    return _rounded(reports.per_capita(_rented_by_geography(spark, d)), 6, "per_capita")
 
 
 def population_by_country(spark: SparkSession, d: str) -> DataFrame:
@@ -294,8 +315,12 @@ def cross_tab_country(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ops_list(spark: SparkSession, d: str) -> DataFrame:
+    measures = ["rented_total", "operational_total", "maintenance_total", "ready_total"]
+    listed = _stock_month_end(spark, d, measures).join(
+        _workshop(spark, d), ["month_end", "branch"], "left"
+    )
     return reports.ops_list(
-        _rented(spark, d), OPS_YEAR, OPS_MONTH, OPS_REQUEST, "maint_internal", ratios=True
+        listed, OPS_YEAR, OPS_MONTH, OPS_REQUEST, "maint_internal", ratios=True
     )
 
 
@@ -324,7 +349,7 @@ def log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     logged = features.log_target(_panel(spark, d))
     return logged.select(
         "date", "branch", "product", "value", F.round("value_log", 6).alias("value_log"),
-        features.from_log(F.col("value_log")).alias("restored"),
+        from_log(F.col("value_log")).alias("restored"),
     )
 
 
