@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,14 @@ def is_month_opening(moment: Column) -> Column:
     return F.dayofmonth(moment) == 1
 
 
+def on_openings(moment: Column, since: date, until: date) -> Column:
+    """``moment`` falls on a month opening between two dates, as ranges of the raw column."""
+    months = range(since.year * 12 + since.month - 1, until.year * 12 + until.month)
+    days = [date(m // 12, m % 12 + 1, 1) for m in months]
+    ranges = [(moment >= F.lit(x)) & (moment < F.lit(x + timedelta(days=1))) for x in days]
+    return reduce(lambda a, b: a | b, ranges)
+
+
 def first_opening_on_or_after(moment: Column) -> Column:
     """First day of the earliest month that does not open before ``moment``'s date."""
     day = moment.cast("date")

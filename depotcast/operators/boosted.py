@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from depotcast.operators.panel import recency_window
 from depotcast.runtime import ensure_checkpoint_dir, materialize
 
 # recursive steps planned together: keeps plans and generated code small
-_STEPS_PER_WRITE = 2
+_STEPS_PER_WRITE = 6
 
 
 @dataclass(frozen=True)
@@ -142,6 +143,16 @@ def _starting_state(training: Training) -> DataFrame:
     )
 
 
+def _features_ahead(step: int, config: BoostedConfig) -> Column:
+    """Feature vector of the given step, in the order of ``feature_names``: lag 1 first."""
+    deep, wide = config.target_lags, config.covariate_lags
+    position = F.col("known") + step
+    parts = [F.reverse(F.slice("targets", -deep, deep))]
+    parts += [F.reverse(F.slice(c, position - wide, wide)) for c in COVARIATES]
+    parts.append(F.array(*[F.col(f"{c}_code").cast("double") for c in ENCODED_COLUMNS]))
+    return array_to_vector(F.concat(*parts))
+
+
 def recursive_forecast(model: GBTRegressionModel, training: Training) -> DataFrame:
     """Project every series ``horizon`` months ahead, each step feeding the next.
 
@@ -150,20 +161,10 @@ def recursive_forecast(model: GBTRegressionModel, training: Training) -> DataFra
     the predictions stay on the row until they are exploded at the end.
     """
     config = training.config
-    assembler = _assembler(config)
     state = materialize(_starting_state(training))
     columns = state.columns
     for step in range(1, config.horizon + 1):
-        position = F.col("known") + step
-        lags = {
-            f"value_lag_{k}": F.element_at("targets", -k) for k in range(1, config.target_lags + 1)
-        }
-        lags |= {
-            f"{c}_lag_{k}": F.element_at(c, position - k)
-            for c in COVARIATES
-            for k in range(1, config.covariate_lags + 1)
-        }
-        scored = model.transform(assembler.transform(state.withColumns(lags)))
+        scored = model.transform(state.withColumn("features", _features_ahead(step, config)))
         state = scored.withColumn("targets", F.array_append("targets", F.col("prediction"))).select(
             *columns
         )

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from depotcast.config import StockLabels
 from depotcast.contracts import STOCK_SNAPSHOT, require
-from depotcast.functions.dates import closing_month_end, is_month_opening, month_ends
+from depotcast.functions.dates import (
+    closing_month_end,
+    is_month_opening,
+    month_ends,
+    on_openings,
+)
 from depotcast.functions.measures import FLOW_MEASURES, measures_named, quoted, stock_measures
 from depotcast.runtime import materialize
 
@@ -49,6 +54,8 @@ def stock_month_end(
     latest: DataFrame | None = None,
     include_latest: bool = True,
     measures: Sequence[str] | None = None,
+    since: date | None = None,
+    until: date | None = None,
 ) -> DataFrame:
     """Month-end stock: the snapshots that open a month, and the latest one if wanted.
 
@@ -56,12 +63,17 @@ def stock_month_end(
     with the end of its own month. ``latest`` is an optional one-row frame with
     the latest day, for callers that know a cheaper source than ``snapshots``.
     Branches missing from the register are added up under a NULL branch.
-    ``measures`` limits the result to some of the 32 measures.
+    ``measures`` limits the result to some of the 32 measures. ``since`` and
+    ``until``, if the caller knows that all snapshots lie between them, spell the
+    openings out as date ranges that reach the file scan, so that a table sorted
+    or partitioned by time is read for those days only.
     """
     require(snapshots, STOCK_SNAPSHOT.names, "stock snapshots")
     require(register, ("branch", "country"), "branch register")
     moment = F.col("snapshot_ts")
     keep, label = is_month_opening(moment), F.date_sub(moment.cast("date"), 1)
+    if since is not None and until is not None:
+        keep = keep & on_openings(moment, since, until)
     if include_latest:
         newest = (latest if latest is not None else latest_snapshot_day(snapshots)).scalar()
         # compared on the raw column: nothing is later than the latest day
