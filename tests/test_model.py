@@ -1,0 +1,177 @@
+from __future__ import annotations
+
+import math
+import random
+from datetime import date
+
+import pytest
+from conftest import rows
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from depotcast.config import BoostedConfig
+from depotcast.contracts import OPERATIONAL_COLUMNS
+from depotcast.functions.numbers import from_log, to_log
+from depotcast.operators import boosted, features
+
+CONFIG = BoostedConfig(trees=6, max_depth=3)
+COLUMNS = (
+    "date date, branch string, product string, country string, state string, city string, "
+    "urban_tier string, rank string, population long, "
+    + ", ".join(f"{c} double" for c in OPERATIONAL_COLUMNS) + ", value long"
+)
+
+
+def month_end(i):
+    following = date(2022 + (i + 1) // 12, (i + 1) % 12 + 1, 1)
+    return date.fromordinal(following.toordinal() - 1)
+
+
+def make_panel(spark, months, branches=4):
+    rng = random.Random(1)
+    data = []
+    for b in range(branches):
+        for p, product in enumerate(("new", "semi", "used")):
+            for i in range(months):
+                season = 10 * math.sin(2 * math.pi * (i % 12) / 12)
+                value = round(max(0, 20 + 8 * b + 4 * p + season + rng.uniform(-2, 2)))
+                data.append((
+                    month_end(i), f"b{b}", product, "X", f"s{b % 2}", f"c{b}", "t", "A",
+                    None if b == 0 else 100 * b, *[float(rng.randrange(50))] * len(OPERATIONAL_COLUMNS), value,
+                ))
+    return spark.createDataFrame(data, COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    training = boosted.prepare(make_panel(spark, 30), CONFIG)
+    return training, boosted.fit(training)
+
+
+def test_log_scale_returns_to_clipped_rounded_units(spark):
+    data = spark.createDataFrame([(0.0,), (5.5,), (1234.0,)], "x double")
+    assert [r[0] for r in data.select(from_log(to_log(F.col("x")))).collect()] == [0.0, 5.5, 1234.0]
+    assert spark.range(1).select(from_log(F.lit(-3.0))).first()[0] == 0.0
+
+
+def test_codes_follow_the_order_of_labels_and_count_null_as_one(spark):
+    data = spark.createDataFrame([("B", "x"), ("a", "x"), (None, "x"), ("10", "y"), ("2", None)], "k string, l string")
+    codes = features.category_codes(data, ["k", "l"])
+    got = {(r["column"], r.label): r.code for r in codes.collect()}
+    assert got == {
+        ("k", "10"): 0, ("k", "2"): 1, ("k", "B"): 2, ("k", "a"): 3, ("k", "nan"): 4,
+        ("l", "nan"): 0, ("l", "x"): 1, ("l", "y"): 2,
+    }
+    encoded = features.encode(data, codes, ["k", "l"])
+    assert {(r.k, r.k_code) for r in encoded.collect()} == {("B", 2), ("a", 3), (None, 4), ("10", 0), ("2", 1)}
+    back = features.decode(encoded, codes, "k")
+    assert {r.k for r in back.collect()} == {"B", "a", "nan", "10", "2"}
+
+
+def test_lags_look_back_within_their_own_series(trained):
+    training, _ = trained
+    names = features.feature_names(CONFIG)
+    assert len(names) == 12 + 42 + 6 and training.features.filter("value_lag_12 is null").count() == 0
+    history = {(r.branch, r["product"], r.date): r for r in training.recent.collect()}
+    dates = sorted({k[2] for k in history})
+    # 25 month-ends in the window, 12 of them only serve as lags
+    assert len(dates) == 25 and training.features.count() == 4 * 3 * 13
+    for row in training.features.collect():
+        at = dates.index(row.date)
+        for k in (1, 6, 12):
+            past = history[row.branch, row["product"], dates[at - k]]
+            assert row[f"value_lag_{k}"] == past.value_log
+            if k <= 6:
+                assert row[f"ready_total_lag_{k}"] == past.ready_total
+                assert row[f"month_number_lag_{k}"] == past.date.month
+                assert row[f"population_lag_{k}"] == (past.population or 0)
+
+
+def test_future_repeats_the_last_month_with_the_calendar_going_on(spark):
+    panel = make_panel(spark, 14, branches=1)
+    future = features.future_covariates(panel, 12).filter("is_future = 1 and product = 'new'")
+    got = future.orderBy("date").collect()
+    last = panel.filter("product = 'new'").orderBy(F.desc("date")).first()
+    assert [r.date for r in got] == [month_end(14 + i) for i in range(12)]
+    assert [r.month_number for r in got] == [r.date.month for r in got]
+    assert {r.ready_total for r in got} == {last.ready_total}
+
+
+def test_training_stops_before_the_cutoff_month(trained):
+    training, _ = trained
+    dates = sorted({r.date for r in training.features.select("date").distinct().collect()})
+    cutoff = training.features.select(boosted._cutoff(training).alias("c")).first().c
+    assert cutoff == dates[-5].replace(day=1)
+    errors = boosted.holdout_errors(trained[1], training)
+    assert {r.months for r in errors.collect()} == {5}
+
+
+def test_short_history_fails_with_a_clear_message(spark):
+    training = boosted.prepare(make_panel(spark, 17, branches=1), CONFIG)
+    with pytest.raises(ValueError, match="17 months of history, 18 needed"):
+        boosted.fit(training)
+    assert boosted.fit(boosted.prepare(make_panel(spark, 18, branches=1), CONFIG)) is not None
+
+
+def test_same_seed_same_model(spark, trained):
+    training, model = trained
+    again = boosted.fit(training)
+    assert rows(boosted.holdout_errors(model, training)) == rows(boosted.holdout_errors(again, training))
+
+
+def test_perfect_predictions_have_no_error_and_series_weigh_the_same(spark):
+    class Oracle:
+        def __init__(self, offset):
+            self.offset = offset
+
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("label") + self.offset)
+
+    training = boosted.prepare(make_panel(spark, 25, branches=2), CONFIG)
+    perfect = boosted.holdout_errors(Oracle(F.lit(0.0)), training)
+    assert {r.mae for r in perfect.collect()} == {0.0}
+    uneven = spark.createDataFrame([("a", "new", 1.0, 9), ("b", "new", 3.0, 1)], "branch string, product string, mae double, months long")
+    assert boosted.overall_error(uneven).first().mae == 2.0
+
+
+def test_model_beats_repeating_the_same_month_of_last_year(trained):
+    training, model = trained
+    got = boosted.overall_error(boosted.holdout_errors(model, training)).first().mae
+    seasonal = (
+        training.features.filter(F.col("date") >= boosted._cutoff(training))
+        .select(F.avg(F.abs(F.expm1("label") - F.expm1("value_lag_12")))).first()[0]
+    )
+    assert got < 3 * seasonal
+
+
+def test_forecast_has_twelve_months_per_series(trained):
+    training, model = trained
+    forecast = boosted.recursive_forecast(model, training)
+    assert forecast.count() == 4 * 3 * 12 and forecast.filter("value < 0 or value is null").count() == 0
+    assert {r.date for r in forecast.select("date").distinct().collect()} == {month_end(30 + i) for i in range(12)}
+
+
+def test_forecast_equals_appending_each_prediction_to_the_panel(spark, trained):
+    """The slow way: extend the panel by one predicted month at a time and rebuild the lags."""
+    training, model = trained
+    assembler = VectorAssembler(inputCols=features.feature_names(CONFIG), outputCol="features")
+    panel = training.recent
+    fast = {
+        (r.branch, r["product"], r.date): r.value for r in boosted.recursive_forecast(model, training).collect()
+    }
+    for step in range(3):
+        day = month_end(30 + step)
+        last = panel.filter(F.col("date") == F.lit(month_end(29 + step)))
+        ahead = panel.unionByName(last.withColumn("date", F.lit(day)))
+        lagged = features.complete_rows(features.lag_features(ahead, CONFIG), CONFIG)
+        scored = model.transform(assembler.transform(lagged.filter(F.col("date") == F.lit(day))))
+        predictions = scored.select("branch", "product", "prediction").collect()
+        for r in predictions:
+            assert fast[r.branch, r["product"], day] == round(max(0.0, math.expm1(r.prediction)), 2)
+        predicted = spark.createDataFrame(
+            [(r.branch, r["product"], r.prediction) for r in predictions], "branch string, product string, p double"
+        )
+        panel = panel.unionByName(
+            last.withColumn("date", F.lit(day)).join(predicted, ["branch", "product"])
+            .withColumn("value_log", F.col("p")).drop("p")
+        )
