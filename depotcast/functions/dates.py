@@ -18,6 +18,12 @@ def closing_month_end(moment: Column) -> Column:
     return F.last_day(F.date_sub(moment.cast("date"), 1))
 
 
+def closes_between(moment: Column, first: date, last: date) -> Column:
+    """``closing_month_end(moment)`` lies in the months of two dates, on the raw column."""
+    following = date(last.year + last.month // 12, last.month % 12 + 1, 1)
+    return (moment >= F.lit(first.replace(day=2))) & (moment < F.lit(following.replace(day=2)))
+
+
 def is_month_opening(moment: Column) -> Column:
     return F.dayofmonth(moment) == 1
 

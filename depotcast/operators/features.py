@@ -46,14 +46,22 @@ def category_codes(df: DataFrame, columns: Sequence[str] = ENCODED_COLUMNS) -> D
 
 
 def encode(df: DataFrame, codes: DataFrame, columns: Sequence[str] = ENCODED_COLUMNS) -> DataFrame:
-    """Add ``<column>_code`` for every encoded column."""
+    """Add ``<column>_code`` for every encoded column.
+
+    The labels are looked up on the distinct combinations, one per branch and
+    product, and ``df`` is joined once by the whole combination: a join by a
+    single label such as the product would put a third of the rows on one key.
+    """
+    combinations = df.select(*columns).distinct()
     for c in columns:
         own = codes.filter(F.col("column") == c).select(
             F.col("label").alias("_label"), F.col("code").alias(f"{c}_code")
         )
         label = F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL))
-        df = df.join(own, label == F.col("_label"), "left").drop("_label")
-    return df
+        combinations = combinations.join(own, label == F.col("_label"), "left").drop("_label")
+    looked_up = combinations.withColumnsRenamed({c: f"_{c}" for c in columns})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return df.join(looked_up, same, "left").drop(*[f"_{c}" for c in columns])
 
 
 def decode(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:

@@ -45,9 +45,12 @@ def branch_product_long(wide: DataFrame, columns: Mapping[str, str] = RENTED_COL
         F.col("month_end").alias("date"), "country", "branch",
         *[number_or_zero(F.col(c)).alias(c) for c in columns],
     )
-    return to_products(numeric, ["date", "country", "branch"], columns).orderBy(
-        "date", "country", "branch", "product"
-    )
+    return to_products(numeric, ["date", "country", "branch"], columns)
+
+
+def in_report_order(long: DataFrame) -> DataFrame:
+    """Sorted for publication: date, keys, product. Not for frames that feed another step."""
+    return long.orderBy(*[c for c in long.columns if c != "value"])
 
 
 def _summed(columns: Mapping[str, str]) -> list[Column]:
@@ -84,7 +87,7 @@ def rollup(
     head = [F.lit(v).alias(k) for k, v in (constants or {}).items()]
     return long.select(
         "date", *head, *[F.col(k).alias(names.get(k, k)) for k in keys], "product", "value"
-    ).orderBy("date", *[names.get(k, k) for k in keys], "product")
+    )
 
 
 def rollup_all_levels(

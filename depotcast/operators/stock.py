@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from depotcast.config import StockLabels
 from depotcast.contracts import STOCK_SNAPSHOT, require
 from depotcast.functions.dates import (
+    closes_between,
     closing_month_end,
     is_month_opening,
     month_ends,
@@ -23,17 +26,25 @@ _KEYS = ("branch", "country", "third_party")
 
 
 def stock_flow_sum(
-    snapshots: DataFrame, register: DataFrame, labels: StockLabels, country: str
+    snapshots: DataFrame,
+    register: DataFrame,
+    labels: StockLabels,
+    country: str,
+    first: date | None = None,
+    last: date | None = None,
 ) -> DataFrame:
     """Every snapshot of a month summed per own branch of one country.
 
     The snapshots are aggregated to branch-months first and meet the register
     afterwards, so no raw row is shuffled and a branch that holds a large share
-    of them costs no more than any other.
+    of them costs no more than any other. ``first`` and ``last`` limit the result
+    to those months, on the raw column, so that other months are not read.
     """
     require(snapshots, STOCK_SNAPSHOT.names, "stock snapshots")
     require(register, _KEYS, "branch register")
     measures = measures_named(labels, FLOW_MEASURES)
+    if first is not None and last is not None:
+        snapshots = snapshots.filter(closes_between(F.col("snapshot_ts"), first, last))
     monthly = snapshots.groupBy(
         closing_month_end(F.col("snapshot_ts")).alias("month_end"), "branch"
     ).agg(*[m.total() for m in measures])
@@ -71,19 +82,20 @@ def stock_month_end(
     require(snapshots, STOCK_SNAPSHOT.names, "stock snapshots")
     require(register, ("branch", "country"), "branch register")
     moment = F.col("snapshot_ts")
-    keep, label = is_month_opening(moment), F.date_sub(moment.cast("date"), 1)
+    # every condition has to hold; those on the raw column alone reach the scan
+    conditions, label = [is_month_opening(moment)], F.date_sub(moment.cast("date"), 1)
     if since is not None and until is not None:
-        keep = keep & on_openings(moment, since, until)
+        conditions.append(on_openings(moment, since, until))
     if include_latest:
         newest = (latest if latest is not None else latest_snapshot_day(snapshots)).scalar()
-        # compared on the raw column: nothing is later than the latest day
+        # nothing is later than the latest day
         is_newest = moment >= newest.cast("timestamp_ntz")
-        keep = keep | is_newest
+        conditions = [condition | is_newest for condition in conditions]
         label = F.when(is_newest, F.last_day(newest)).otherwise(label)
     wanted = stock_measures(labels) if measures is None else measures_named(labels, measures)
     names = [m.name for m in wanted]
     monthly = (
-        snapshots.filter(keep).groupBy(label.alias("month_end"), "branch").agg(*[m.total() for m in wanted])
+        snapshots.filter(reduce(and_, conditions)).groupBy(label.alias("month_end"), "branch").agg(*[m.total() for m in wanted])
     )
     known = register.select(F.col("branch").alias("known_branch"), "country")
     # the second, tiny aggregation folds unregistered branches into one group

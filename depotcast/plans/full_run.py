@@ -74,7 +74,7 @@ def run(inputs: Inputs, config: RunConfig) -> dict[str, DataFrame]:
         return written[name]
 
     table = publish("wide", build_wide(inputs, config))
-    publish("branch_product_long", rollups.branch_product_long(table))
+    publish("branch_product_long", rollups.in_report_order(rollups.branch_product_long(table)))
     publish("rollups", rollups.rollup_all_levels(table))
 
     long = publish("panel_long", panel.panel_long(panel.clean_wide(table)))

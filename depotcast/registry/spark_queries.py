@@ -48,6 +48,13 @@ def _stock_month_end(spark: SparkSession, d: str, measures=None) -> DataFrame:
     )
 
 
+def _stock_flow(spark: SparkSession, d: str, first=None, last=None) -> DataFrame:
+    return stock.stock_flow_sum(
+        src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS, src.HOME,
+        first=first, last=last,
+    )
+
+
 def _demand(spark: SparkSession, d: str) -> DataFrame:
     return flows.demand_by_product(src.sales(spark, d), src.SINCE)
 
@@ -129,9 +136,7 @@ def demand_by_product_month(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stock_flow_sum(spark: SparkSession, d: str) -> DataFrame:
-    return stock.stock_flow_sum(
-        src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS, src.HOME
-    )
+    return _stock_flow(spark, d)
 
 
 def stock_month_end(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +181,7 @@ def branch_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def wide_table(spark: SparkSession, d: str) -> DataFrame:
     result = wide.wide_table(
-        stock_flow_sum(spark, d), _invoiced(spark, d), _demand(spark, d),
+        _stock_flow(spark, d, src.FIRST_MONTH, src.LAST_MONTH), _invoiced(spark, d), _demand(spark, d),
         workshop_join_then_agg(spark, d), _segments(spark, d), src.FIRST_MONTH, src.LAST_MONTH,
     )
     return _rounded(result, 6, "mech_total", "mech_on_ramp")
@@ -200,82 +205,114 @@ def company_closed_months(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def branch_product_long(spark: SparkSession, d: str) -> DataFrame:
+def _branch_product_long(spark: SparkSession, d: str) -> DataFrame:
     return rollups.branch_product_long(_rented(spark, d))
 
 
-def rollup_company(spark: SparkSession, d: str) -> DataFrame:
+def _rollup_company(spark: SparkSession, d: str) -> DataFrame:
     return rollups.rollup(_rented(spark, d), [], constants={"company": "company"})
 
 
-def rollup_country(spark: SparkSession, d: str) -> DataFrame:
+def _rollup_country(spark: SparkSession, d: str) -> DataFrame:
     return rollups.rollup(_rented(spark, d), ["country"])
 
 
-def rollup_region(spark: SparkSession, d: str) -> DataFrame:
+def _rollup_region(spark: SparkSession, d: str) -> DataFrame:
     return rollups.rollup(_rented_by_geography(spark, d), ["country", "region", "region_consolidated"])
 
 
-def rollup_state(spark: SparkSession, d: str) -> DataFrame:
+def _rollup_state(spark: SparkSession, d: str) -> DataFrame:
     return rollups.rollup(_rented_by_geography(spark, d), ["country", "state"])
 
 
-def rollup_pop_rank(spark: SparkSession, d: str) -> DataFrame:
+def _rollup_pop_rank(spark: SparkSession, d: str) -> DataFrame:
     return rollups.rollup(_rented_by_geography(spark, d), ["country", "pop_letter"], renamed={"pop_letter": "rank"})
 
 
-def rollup_urban(spark: SparkSession, d: str) -> DataFrame:
+def _rollup_urban(spark: SparkSession, d: str) -> DataFrame:
     return rollups.rollup(_rented_by_geography(spark, d), ["country", "urban_tier"])
 
 
-def rollup_population(spark: SparkSession, d: str) -> DataFrame:
+def _rollup_population(spark: SparkSession, d: str) -> DataFrame:
     return rollups.rollup(_rented_by_geography(spark, d), ["country", "population"])
 
 
+def branch_product_long(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.in_report_order(_branch_product_long(spark, d))
+
+
+def rollup_company(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.in_report_order(_rollup_company(spark, d))
+
+
+def rollup_country(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.in_report_order(_rollup_country(spark, d))
+
+
+def rollup_region(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.in_report_order(_rollup_region(spark, d))
+
+
+def rollup_state(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.in_report_order(_rollup_state(spark, d))
+
+
+def rollup_pop_rank(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.in_report_order(_rollup_pop_rank(spark, d))
+
+
+def rollup_urban(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.in_report_order(_rollup_urban(spark, d))
+
+
+def rollup_population(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.in_report_order(_rollup_population(spark, d))
+
+
 def rollup_all_levels(spark: SparkSession, d: str) -> DataFrame:
     return rollups.rollup_all_levels(_rented_by_geography(spark, d))
 
 
 def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
-    return reports.dataset_summary(branch_product_long(spark, d), ["country", "branch", "product"])
+    return reports.dataset_summary(_branch_product_long(spark, d), ["country", "branch", "product"])
 
 
 def dataset_summary_region(spark: SparkSession, d: str) -> DataFrame:
     return reports.dataset_summary(
-        rollup_region(spark, d), ["country", "region", "region_consolidated", "product"]
+        _rollup_region(spark, d), ["country", "region", "region_consolidated", "product"]
     )
 
 
 def totals_by_product(spark: SparkSession, d: str) -> DataFrame:
-    return reports.totals_by_key(rollup_company(spark, d), "product")
+    return reports.totals_by_key(_rollup_company(spark, d), "product")
 
 
 def totals_by_country(spark: SparkSession, d: str) -> DataFrame:
-    return reports.totals_by_key(rollup_country(spark, d), "country")
+    return reports.totals_by_key(_rollup_country(spark, d), "country")
 
 
 def totals_by_region(spark: SparkSession, d: str) -> DataFrame:
-    return reports.totals_by_key(rollup_region(spark, d), "region_consolidated")
+    return reports.totals_by_key(_rollup_region(spark, d), "region_consolidated")
 
 
 def totals_by_rank(spark: SparkSession, d: str) -> DataFrame:
-    return reports.totals_by_key(rollup_pop_rank(spark, d), "rank").orderBy("rank")
+    return reports.totals_by_key(_rollup_pop_rank(spark, d), "rank").orderBy("rank")
 
 
 def totals_by_urban_tier(spark: SparkSession, d: str) -> DataFrame:
-    return reports.totals_by_key(rollup_urban(spark, d), "urban_tier")
+    return reports.totals_by_key(_rollup_urban(spark, d), "urban_tier")
 
 
 def grand_total(spark: SparkSession, d: str) -> DataFrame:
-    return reports.grand_total(rollup_company(spark, d))
+    return reports.grand_total(_rollup_company(spark, d))
 
 
 def top_branches(spark: SparkSession, d: str) -> DataFrame:
-    return reports.top_keys(branch_product_long(spark, d), ["branch"], 10)
+    return reports.top_keys(_branch_product_long(spark, d), ["branch"], 10)
 
 
 def top_states(spark: SparkSession, d: str) -> DataFrame:
-    return reports.top_keys(rollup_state(spark, d), ["country", "state"], 10)
+    return reports.top_keys(_rollup_state(spark, d), ["country", "state"], 10)
 
 
 def _share(long: DataFrame, key: str) -> DataFrame:
@@ -283,19 +320,19 @@ def _share(long: DataFrame, key: str) -> DataFrame:
 
 
 def share_by_product(spark: SparkSession, d: str) -> DataFrame:
-    return _share(rollup_company(spark, d), "product")
+    return _share(_rollup_company(spark, d), "product")
 
 
 def share_by_country(spark: SparkSession, d: str) -> DataFrame:
-    return _share(rollup_country(spark, d), "country")
+    return _share(_rollup_country(spark, d), "country")
 
 
 def share_by_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _share(rollup_pop_rank(spark, d), "rank")
+    return _share(_rollup_pop_rank(spark, d), "rank")
 
 
 def share_by_urban_tier(spark: SparkSession, d: str) -> DataFrame:
-    return _share(rollup_urban(spark, d), "urban_tier")
+    return _share(_rollup_urban(spark, d), "urban_tier")
 
 
 def per_capita(spark: SparkSession, d: str) -> DataFrame:
@@ -303,15 +340,15 @@ def per_capita(spark: SparkSession, d: str) -> DataFrame:
 
 
 def population_by_country(spark: SparkSession, d: str) -> DataFrame:
-    return reports.population_by_country(rollup_population(spark, d))
+    return reports.population_by_country(_rollup_population(spark, d))
 
 
 def cross_tab_branch(spark: SparkSession, d: str) -> DataFrame:
-    return reports.cross_tab(branch_product_long(spark, d), "branch")
+    return reports.cross_tab(_branch_product_long(spark, d), "branch")
 
 
 def cross_tab_country(spark: SparkSession, d: str) -> DataFrame:
-    return reports.cross_tab(branch_product_long(spark, d), "country", fill=True)
+    return reports.cross_tab(_branch_product_long(spark, d), "country", fill=True)
 
 
 def ops_list(spark: SparkSession, d: str) -> DataFrame:

@@ -157,10 +157,15 @@ def test_flow_sum_adds_every_snapshot_of_own_branches_of_the_country(spark):
         dict(branch="ghost", status_type="rented", qty=32),
     )
     known = register(spark, {}, dict(branch="other", country="Y"), dict(branch="partner", third_party=1))
-    got = stock.stock_flow_sum(facts, known, LABELS, "X")
-    assert {(r.month_end, r.branch): r.rented_total for r in got.collect()} == {
-        (d("2024-02-29"), "b1"): 3, (d("2024-03-31"), "b1"): 4,
-    }
+
+    def months(*limits):
+        got = stock.stock_flow_sum(facts, known, LABELS, "X", *limits)
+        return {(r.month_end, r.branch): r.rented_total for r in got.collect()}
+
+    february, march = (d("2024-02-29"), "b1"), (d("2024-03-31"), "b1")
+    assert months() == {february: 3, march: 4}
+    assert months(february[0], february[0]) == {february: 3}
+    assert months(march[0], d("2024-12-31")) == {march: 4}
 
 
 def test_grid_covers_history_and_twelve_months_for_every_branch(spark):
