@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date, timedelta
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,12 +30,18 @@ def is_month_opening(moment: Column) -> Column:
     return F.dayofmonth(moment) == 1
 
 
-def on_openings(moment: Column, since: date, until: date) -> Column:
-    """``moment`` falls on a month opening between two dates, as ranges of the raw column."""
-    months = range(since.year * 12 + since.month - 1, until.year * 12 + until.month)
-    days = [date(m // 12, m % 12 + 1, 1) for m in months]
-    ranges = [(moment >= F.lit(x)) & (moment < F.lit(x + timedelta(days=1))) for x in days]
-    return reduce(lambda a, b: a | b, ranges)
+def openings_between(first: date, last: date) -> list[date]:
+    """First days of the months of two dates and of those in between."""
+    months = range(first.year * 12 + first.month - 1, last.year * 12 + last.month)
+    return [date(m // 12, m % 12 + 1, 1) for m in months]
+
+
+def on_days(moment: Column, days: Iterable[date]) -> Column:
+    """``moment`` falls on one of the days, as ranges of the raw column."""
+    ranges = [
+        (moment >= F.lit(x)) & (moment < F.lit(x + timedelta(days=1))) for x in sorted(set(days))
+    ]
+    return reduce(or_, ranges)
 
 
 def first_opening_on_or_after(moment: Column) -> Column:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +15,8 @@ from depotcast.functions.dates import (
     closing_month_end,
     is_month_opening,
     month_ends,
-    on_openings,
+    on_days,
+    openings_between,
 )
 from depotcast.functions.measures import FLOW_MEASURES, measures_named, quoted, stock_measures
 from depotcast.runtime import materialize
@@ -54,48 +53,54 @@ def stock_flow_sum(
     )
 
 
-def latest_snapshot_day(snapshots: DataFrame) -> DataFrame:
-    return snapshots.agg(F.max("snapshot_ts").cast("date").alias("latest"))
+def snapshot_span(snapshots: DataFrame) -> tuple[date, date]:
+    """First and last snapshot day: a scan of one column and one row for the driver."""
+    day = F.col("snapshot_ts").cast("date")
+    first, last = snapshots.agg(F.min(day), F.max(day)).first()
+    return first, last
+
+
+def _latest_day(snapshots: DataFrame, span: tuple[date, date] | None) -> Column:
+    if span is not None:
+        return F.lit(span[1])
+    return snapshots.agg(F.max("snapshot_ts").cast("date")).scalar()
 
 
 def stock_month_end(
     snapshots: DataFrame,
     register: DataFrame,
     labels: StockLabels,
-    latest: DataFrame | None = None,
     include_latest: bool = True,
     measures: Sequence[str] | None = None,
-    since: date | None = None,
-    until: date | None = None,
+    span: tuple[date, date] | None = None,
 ) -> DataFrame:
     """Month-end stock: the snapshots that open a month, and the latest one if wanted.
 
     A month-opening snapshot is labelled with the day before it; the latest one
-    with the end of its own month. ``latest`` is an optional one-row frame with
-    the latest day, for callers that know a cheaper source than ``snapshots``.
-    Branches missing from the register are added up under a NULL branch.
-    ``measures`` limits the result to some of the 32 measures. ``since`` and
-    ``until``, if the caller knows that all snapshots lie between them, spell the
-    openings out as date ranges that reach the file scan, so that a table sorted
-    or partitioned by time is read for those days only.
+    with the end of its own month. Branches missing from the register are added
+    up under a NULL branch. ``measures`` limits the result to some of the 32
+    measures. With the ``span`` of the snapshots at hand the days to keep are
+    spelled out as ranges that reach the file scan, so that a table sorted or
+    partitioned by time is read for those days only.
     """
     require(snapshots, STOCK_SNAPSHOT.names, "stock snapshots")
     require(register, ("branch", "country"), "branch register")
     moment = F.col("snapshot_ts")
-    # every condition has to hold; those on the raw column alone reach the scan
-    conditions, label = [is_month_opening(moment)], F.date_sub(moment.cast("date"), 1)
-    if since is not None and until is not None:
-        conditions.append(on_openings(moment, since, until))
+    keep, label = is_month_opening(moment), F.date_sub(moment.cast("date"), 1)
     if include_latest:
-        newest = (latest if latest is not None else latest_snapshot_day(snapshots)).scalar()
+        newest = _latest_day(snapshots, span)
         # nothing is later than the latest day
         is_newest = moment >= newest.cast("timestamp_ntz")
-        conditions = [condition | is_newest for condition in conditions]
+        keep = keep | is_newest
         label = F.when(is_newest, F.last_day(newest)).otherwise(label)
+    if span is not None:
+        # the same days again, in a form the scan can use to skip row groups
+        days = openings_between(*span) + ([span[1]] if include_latest else [])
+        keep = keep & on_days(moment, days)
     wanted = stock_measures(labels) if measures is None else measures_named(labels, measures)
     names = [m.name for m in wanted]
     monthly = (
-        snapshots.filter(reduce(and_, conditions)).groupBy(label.alias("month_end"), "branch").agg(*[m.total() for m in wanted])
+        snapshots.filter(keep).groupBy(label.alias("month_end"), "branch").agg(*[m.total() for m in wanted])
     )
     known = register.select(F.col("branch").alias("known_branch"), "country")
     # the second, tiny aggregation folds unregistered branches into one group
@@ -145,11 +150,10 @@ def branch_month_grid(snapshots: DataFrame, labels: StockLabels, as_of: date) ->
 
 
 def company_closed_months(
-    snapshots: DataFrame, labels: StockLabels, latest: DataFrame | None = None
+    snapshots: DataFrame, labels: StockLabels, span: tuple[date, date] | None = None
 ) -> DataFrame:
     """Sale stock per snapshot date, up to the month of the latest snapshot."""
-    newest = (latest if latest is not None else latest_snapshot_day(snapshots)).scalar()
-    closing = F.last_day(F.date_sub(newest, 1))
+    closing = F.last_day(F.date_sub(_latest_day(snapshots, span), 1))
     return (
         # date(ts) - 1 < closing, on the raw column
         snapshots.filter(F.col("snapshot_ts") < F.date_add(closing, 1).cast("timestamp_ntz"))

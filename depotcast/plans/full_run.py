@@ -47,8 +47,10 @@ class RunConfig:
 
 
 def build_wide(inputs: Inputs, config: RunConfig) -> DataFrame:
-    """The planning table as a lazy plan over the logical inputs."""
-    position = stock.stock_month_end(inputs.snapshots, inputs.register, config.labels)
+    """The planning table over the logical inputs; only the span of the snapshots is read at once."""
+    position = stock.stock_month_end(
+        inputs.snapshots, inputs.register, config.labels, span=stock.snapshot_span(inputs.snapshots)
+    )
     snapshot_wide = wide.wide_table_snapshot(
         position,
         flows.invoiced_units(inputs.movements),

@@ -44,7 +44,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 def _stock_month_end(spark: SparkSession, d: str, measures=None) -> DataFrame:
     return stock.stock_month_end(
         src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS,
-        latest=src.latest_snapshot(spark, d), measures=measures,
+        measures=measures, span=src.snapshot_span(spark, d),
     )
 
 
@@ -146,7 +146,7 @@ def stock_month_end(spark: SparkSession, d: str) -> DataFrame:
 def stock_month_start_only(spark: SparkSession, d: str) -> DataFrame:
     return stock.stock_month_end(
         src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS,
-        include_latest=False,
+        include_latest=False, span=src.snapshot_span(spark, d),
     )
 
 
@@ -201,7 +201,7 @@ def branch_month_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def company_closed_months(spark: SparkSession, d: str) -> DataFrame:
     return stock.company_closed_months(
-        src.stock_snapshots(spark, d), src.LABELS, latest=src.latest_snapshot(spark, d)
+        src.stock_snapshots(spark, d), src.LABELS, span=src.snapshot_span(spark, d)
     )
 
 

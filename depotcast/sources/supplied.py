@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotcast.config import EnsembleConfig, SegmentRules, StockLabels
+from depotcast.operators import stock
 
 # fixed values: the columns of the supplied tables and their types
 SCHEMAS = {
@@ -100,9 +101,11 @@ def stock_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest snapshot day from the fact table alone, without its dimensions."""
-    return load(spark, folder, "lineitem").agg(F.max("l_shipdate").cast("date").alias("latest"))
+def snapshot_span(spark: SparkSession, folder: str) -> tuple[date, date]:
+    """First and last snapshot day from the fact table alone, without its dimensions."""
+    return stock.snapshot_span(
+        load(spark, folder, "lineitem").select(F.col("l_shipdate").alias("snapshot_ts"))
+    )
 
 
 def branch_register(spark: SparkSession, folder: str) -> DataFrame:

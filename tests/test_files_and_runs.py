@@ -88,7 +88,7 @@ def test_full_run_writes_every_table(spark, small, tmp_path):
 
 
 def test_full_run_stops_at_the_first_error(spark, small, tmp_path):
-    inputs = Inputs(*[src.sales(spark, small)] * 7)
+    inputs = Inputs(*[src.sales(spark, small).withColumnRenamed("paid_on", "snapshot_ts")] * 7)
     config = RunConfig(
         labels=src.LABELS, rules=src.RULES, country=src.HOME, since=src.SINCE, internal_job=src.INTERNAL_JOB,
         as_of=src.AS_OF, last_closed=src.LAST_CLOSED_MONTH, ensemble=src.ENSEMBLE, output=str(tmp_path),

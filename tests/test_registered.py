@@ -72,3 +72,9 @@ def test_raw_facts_are_aggregated_before_they_are_shuffled(spark, small):
     plan = plan_of(QUERIES["stock_flow_sum"](spark, small)).splitlines()
     exchange = next(i for i, x in enumerate(plan) if "Exchange hashpartitioning(_groupingexpression" in x or "Exchange hashpartitioning(month_end" in x)
     assert "partial_sum" in plan[exchange + 1]
+
+
+def test_month_end_stock_pushes_the_days_it_keeps(spark, small):
+    plan = plan_of(QUERIES["stock_month_end"](spark, small))
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "lineitem.parquet" in x)
+    assert re.search(r"PushedFilters: \[(IsNotNull\(l_shipdate\), )?(Or\()+", scan)

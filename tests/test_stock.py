@@ -116,7 +116,7 @@ def test_latest_day_that_opens_a_month_counts_for_its_own_month(spark):
     }
 
 
-def test_a_known_range_of_openings_gives_the_same_stock(spark):
+def test_a_known_span_gives_the_same_stock(spark):
     facts = snapshots(
         spark,
         dict(snapshot_ts=ts("2024-01-01"), status_type="rented", qty=1),
@@ -124,11 +124,17 @@ def test_a_known_range_of_openings_gives_the_same_stock(spark):
         dict(snapshot_ts=ts("2024-02-28"), status_type="rented", qty=4),
         dict(snapshot_ts=ts("2024-03-05"), status_type="rented", qty=8),
     )
-    plain = stock.stock_month_end(facts, register(spark, {}), LABELS)
-    ranged = stock.stock_month_end(
-        facts, register(spark, {}), LABELS, since=d("2024-01-01"), until=d("2024-03-31")
+    span = stock.snapshot_span(facts)
+    assert span == (d("2024-01-01"), d("2024-03-05"))
+    for latest in (True, False):
+        plain = stock.stock_month_end(facts, register(spark, {}), LABELS, include_latest=latest)
+        ranged = stock.stock_month_end(
+            facts, register(spark, {}), LABELS, include_latest=latest, span=span
+        )
+        assert rows(plain) == rows(ranged)
+    assert rows(stock.company_closed_months(facts, LABELS)) == rows(
+        stock.company_closed_months(facts, LABELS, span)
     )
-    assert rows(plain) == rows(ranged)
 
 
 def test_unregistered_branches_fold_into_one_null_branch(spark):
