@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date, timedelta
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,12 +34,13 @@ def openings_between(first: date, last: date) -> list[date]:
     return [date(m // 12, m % 12 + 1, 1) for m in months]
 
 
-def on_days(moment: Column, days: Iterable[date]) -> Column:
-    """``moment`` falls on one of the days, as ranges of the raw column."""
+def on_days(column: str, days: Iterable[date]) -> Column:
+    """The timestamp column falls on one of the days, as ranges of the raw column."""
     ranges = [
-        (moment >= F.lit(x)) & (moment < F.lit(x + timedelta(days=1))) for x in sorted(set(days))
+        f"({column} >= timestamp_ntz'{x}' AND {column} < timestamp_ntz'{x + timedelta(days=1)}')"
+        for x in sorted(set(days))
     ]
-    return reduce(or_, ranges)
+    return F.expr(" OR ".join(ranges))
 
 
 def first_opening_on_or_after(moment: Column) -> Column:

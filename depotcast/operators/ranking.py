@@ -57,7 +57,9 @@ def with_global_ntile(df: DataFrame, buckets: int, order: Sequence[str], name: s
     ranked = _number(ranged, order, "_rank")
     total = ranged.agg(F.count(F.lit(1))).scalar()
     k = F.lit(buckets)
-    ranked = ranked.withColumn("_base", F.floor(total / k)).withColumn("_extra", total % k)
+    ranked = ranked.withColumn("_extra", total % k).withColumn(
+        "_base", ((total - F.col("_extra")) / k).cast("long")
+    )
     rank, base, extra = F.col("_rank"), F.col("_base"), F.col("_extra")
     # the first `extra` buckets hold one row more than the others
     in_larger = extra * (base + 1)

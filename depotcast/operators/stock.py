@@ -96,7 +96,7 @@ def stock_month_end(
     if span is not None:
         # the same days again, in a form the scan can use to skip row groups
         days = openings_between(*span) + ([span[1]] if include_latest else [])
-        keep = keep & on_days(moment, days)
+        keep = keep & on_days("snapshot_ts", days)
     wanted = stock_measures(labels) if measures is None else measures_named(labels, measures)
     names = [m.name for m in wanted]
     monthly = (

@@ -138,12 +138,28 @@ def test_global_ntile_equals_the_built_in(spark, n, k):
     assert rows(with_global_ntile(data, k, ["population", "branch"])) == rows(built_in)
 
 
-def test_global_row_number_is_a_rank_without_gaps(spark):
+@pytest.fixture(params=["true", "false"])
+def coalescing(spark, request):
+    """With and without merging of small partitions: one slice and several."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield
+    spark.conf.set(key, before)
+
+
+def test_global_row_number_is_a_rank_without_gaps(spark, coalescing):
     data = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"))
     got = {r.x: r.row_number for r in with_global_row_number(data, ["x"]).collect()}
     assert [got[x] for x in sorted(got)] == list(range(1, 1001))
 
 
+def test_global_ntile_over_several_slices(spark, coalescing):
+    data = spark.range(403).select((F.col("id") * 31 % 7).alias("population"), F.col("id").alias("branch"))
+    built_in = data.withColumn("bucket", F.ntile(5).over(Window.orderBy("population", "branch")))
+    assert rows(with_global_ntile(data, 5, ["population", "branch"])) == rows(built_in)
+
+
 def test_segments_break_ties_by_branch(spark):
     register = spark.createDataFrame(
         [
