@@ -25,7 +25,7 @@ def test_only_the_model_has_no_sql():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, small, duck, name):
     got = QUERIES[name](spark, small).toArrow()
-    want = duck.execute(ORACLE[name]).to_arrow_table()
+    want = duck.sql(ORACLE[name]).to_arrow_table()
     assert got.num_rows > 0
     assert differences(got, want) == []
 
