@@ -5,96 +5,115 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotcast.functions.measures import quoted
+
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
+_LONG_VALUES = (*_NESTED, T.StringType, T.BinaryType)
 
 
-def _text(value: Column, kind: T.DataType) -> Column:
+def _text(value: str, kind: T.DataType) -> str:
     """Text of a value the way a sheet would show it; nested values have none."""
     if isinstance(kind, _NESTED):
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return value.cast("decimal(30,6)").cast("string")
+        return f"CAST(try_cast({value} AS DECIMAL(30,6)) AS STRING)"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-    return value.cast("string")
-
-
-def _extreme(field: T.StructField, pick) -> Column:
-    """Least or greatest value by the column's own order, as text."""
-    if isinstance(field.dataType, _NESTED):
-        return F.lit(None).cast("string")
-    return _text(pick(F.col(f"`{field.name}`")), field.dataType)
+        return f"date_format({value}, 'yyyy-MM-dd HH:mm:ss')"
+    return f"CAST({value} AS STRING)"
 
 
 def _statistics(name: str, table: DataFrame) -> DataFrame:
     """Everything but the distinct counts: one scan and a one-row aggregate."""
-    fields = table.schema.fields
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for i, field in enumerate(fields):
+    aggregates, rows = ["count(1) AS n"], []
+    for i, field in enumerate(table.schema.fields):
+        column, kind = f"`{field.name}`", field.dataType
+        if isinstance(kind, _NESTED):
+            least = most = length = "CAST(NULL AS STRING)"
+        else:
+            least, most = _text(f"min({column})", kind), _text(f"max({column})", kind)
+            # other values than text are longest at one of their extremes
+            length = (
+                f"max(length({column}))"
+                if isinstance(kind, _LONG_VALUES)
+                else f"greatest(length({least}), length({most}))"
+            )
         aggregates += [
-            F.count(F.col(f"`{field.name}`")).alias(f"present_{i}"),
-            _extreme(field, F.min).alias(f"min_{i}"),
-            _extreme(field, F.max).alias(f"max_{i}"),
-            F.max(F.length(_text(F.col(f"`{field.name}`"), field.dataType))).cast("long").alias(f"length_{i}"),
+            f"count({column}) AS present_{i}", f"{least} AS min_{i}", f"{most} AS max_{i}",
+            f"CAST({length} AS BIGINT) AS length_{i}",
         ]
-    rows = [
-        F.struct(
-            F.lit(i + 1).cast("long").alias("ordinal"),
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("data_type"),
-            (F.col("n") - F.col(f"present_{i}")).alias("null_count"),
-            F.col(f"min_{i}").alias("min_value"),
-            F.col(f"max_{i}").alias("max_value"),
-            F.col(f"length_{i}").alias("max_text_length"),
+        rows.append(
+            f"named_struct('ordinal', {i + 1}L, 'column_name', {quoted(field.name)}, "
+            f"'data_type', {quoted(kind.simpleString())}, 'null_count', n - present_{i}, "
+            f"'min_value', min_{i}, 'max_value', max_{i}, 'max_text_length', length_{i})"
         )
-        for i, field in enumerate(fields)
-    ]
-    return table.agg(*aggregates).select(
-        F.lit(name).alias("table_name"), F.explode(F.array(*rows)).alias("r")
-    ).select("table_name", "r.*")
+    return table.selectExpr(*aggregates).selectExpr(
+        f"{quoted(name)} AS table_name", f"inline(array({', '.join(rows)}))"
+    )
 
 
-def _distinct_counts(name: str, table: DataFrame, exact: bool) -> DataFrame:
-    """Distinct non-NULL values per column.
+def _exact_distinct_counts(table: DataFrame) -> DataFrame:
+    """(ordinal, distinct_count) from one scan and one shuffle of the distinct values.
 
-    Exact counts take one single-column scan each: the values are deduplicated
-    before the shuffle, long text travels as a 256-bit digest, and no row is
-    multiplied by the number of columns as one multi-distinct aggregate would do.
+    A row becomes one (column, value) pair per column, with a slot for each type,
+    and the pairs are deduplicated before the shuffle. Text and nested values,
+    which may be long, travel as 256-bit digests. The plan does not grow with the
+    number of columns as one distinct aggregate per column would.
     """
     fields = table.schema.fields
-    if not exact:
-        counts = table.agg(
-            *[F.approx_count_distinct(F.col(f"`{f.name}`")).alias(f"d_{i}") for i, f in enumerate(fields)]
-        )
-        rows = [
-            F.struct(F.lit(i + 1).cast("long").alias("ordinal"), F.col(f"d_{i}").alias("distinct_count"))
-            for i in range(len(fields))
-        ]
-        return counts.select(
-            F.lit(name).alias("table_name"), F.explode(F.array(*rows)).alias("r")
-        ).select("table_name", "r.*")
-
-    def one(i: int, field: T.StructField) -> DataFrame:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StringType):
-            column = F.unhex(F.sha2(column, 256))
-        return table.agg(F.count_distinct(column).alias("distinct_count")).select(
-            F.lit(name).alias("table_name"), F.lit(i + 1).cast("long").alias("ordinal"), "distinct_count"
+
+    def slot_type(kind: T.DataType) -> str:
+        return "binary" if isinstance(kind, _LONG_VALUES) else kind.simpleString()
+
+    def value(field: T.StructField) -> str:
+        column = f"`{field.name}`"
+        if not isinstance(field.dataType, _LONG_VALUES):
+            return column
+        text = f"to_json({column})" if isinstance(field.dataType, _NESTED) else column
+        return f"unhex(sha2({text}, 256))"
+
+    slots = list(dict.fromkeys(slot_type(f.dataType) for f in fields))
+    pairs = [
+        f"named_struct('ordinal', {i + 1}L, "
+        + ", ".join(
+            f"'v{s}', " + (value(f) if slot == slot_type(f.dataType) else f"CAST(NULL AS {slot})")
+            for s, slot in enumerate(slots)
         )
+        + ")"
+        for i, f in enumerate(fields)
+    ]
+    return (
+        table.selectExpr(f"inline(array({', '.join(pairs)}))")
+        .filter(" OR ".join(f"v{s} IS NOT NULL" for s in range(len(slots))))
+        .distinct()
+        .groupBy("ordinal")
+        .agg(F.count(F.lit(1)).alias("distinct_count"))
+    )
+
 
-    return reduce(DataFrame.unionAll, [one(i, f) for i, f in enumerate(fields)])
+def _approximate_distinct_counts(table: DataFrame) -> DataFrame:
+    names = table.columns
+    rows = [f"named_struct('ordinal', {i + 1}L, 'distinct_count', d_{i})" for i in range(len(names))]
+    return table.selectExpr(
+        *[f"approx_count_distinct(`{c}`) AS d_{i}" for i, c in enumerate(names)]
+    ).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def column_profile(tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
     """Per table and column: position, type, NULLs, distinct values, extremes and text width."""
+    count = _exact_distinct_counts if exact else _approximate_distinct_counts
     statistics = [_statistics(n, t) for n, t in tables.items()]
-    distincts = [_distinct_counts(n, t, exact) for n, t in tables.items()]
+    distincts = [
+        count(t).selectExpr(f"{quoted(n)} AS table_name", "ordinal", "distinct_count")
+        for n, t in tables.items()
+    ]
     return (
         reduce(DataFrame.unionAll, statistics)
-        .join(reduce(DataFrame.unionAll, distincts), ["table_name", "ordinal"])
+        .join(reduce(DataFrame.unionAll, distincts), ["table_name", "ordinal"], "left")
+        # a column without any value has no pairs to count
+        .na.fill(0, ["distinct_count"])
         .orderBy("table_name", "ordinal")
     )

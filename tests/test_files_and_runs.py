@@ -52,11 +52,13 @@ def test_checkpoint_folder_follows_the_session(spark, tmp_path):
 
 def test_profile_of_values_and_approximate_counts(spark):
     data = spark.createDataFrame(
-        [(1, "bb", 1.5, [1]), (1, None, None, None), (3, "a", -2.0, [2])], "n int, s string, x double, v array<int>"
+        [(1, "bb", 0.0, [1], None), (1, None, None, None, None), (3, "a", -2.0, [2], None), (3, "a", -0.0, [2], None)],
+        "n int, s string, x double, v array<int>, e date",
     )
     want = {
         "n": ("int", 0, "1", "3", 1, 2), "s": ("string", 1, "a", "bb", 2, 2),
-        "x": ("double", 1, "-2.000000", "1.500000", 9, 2), "v": ("array<int>", 1, None, None, None, 2),
+        "x": ("double", 1, "-2.000000", "0.000000", 9, 2), "v": ("array<int>", 1, None, None, None, 2),
+        "e": ("date", 4, None, None, None, 0),
     }
     for exact in (True, False):
         got = column_profile({"t": data}, exact=exact)
@@ -64,7 +66,7 @@ def test_profile_of_values_and_approximate_counts(spark):
             r.column_name: (r.data_type, r.null_count, r.min_value, r.max_value, r.max_text_length, r.distinct_count)
             for r in got.collect()
         } == want
-        assert [r.ordinal for r in got.collect()] == [1, 2, 3, 4]
+        assert [r.ordinal for r in got.collect()] == [1, 2, 3, 4, 5]
 
 
 def test_full_run_writes_every_table(spark, small, tmp_path):
