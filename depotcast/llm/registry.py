@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotcast.llm import byte_bpe, decontaminate, token_files
-from depotcast.llm.common import scratch_folder, table
+from depotcast.llm import byte_bpe, chat, decontaminate, simhash, token_files
+from depotcast.llm.common import scratch_folder, stored, table
 
 #: Appended to every document by ``op1_token_files``.
 END_ID = 1
@@ -48,10 +48,44 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of all documents."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Conversation -1 of ``op5_chat_format``: texts made of the template's own marks.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings: formatted, written and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-1).cast(turns.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    examples = stored(chat.expand(turns.unionByName(control)), "examples")
+    replies = F.array_join("replies", "")
+    wording = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chat.read_back(examples).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(wording.cast("binary"), 256).alias("turns_sha256"),
+        F.length(replies).cast("long").alias("loss_chars"),
+        F.sha2(replies.cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_simhash": op4_simhash,
+    "op5_chat_format": op5_chat_format,
 }
 
 #: Words of ``text`` as operators 2 and 10 take them.
@@ -84,5 +118,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+""",
+    "op5_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+written AS (
+  SELECT *, regexp_replace(text, '(\\*)(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\])', '\\\1\2', 'g') AS inside,
+         regexp_replace(role, '(\\*)(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\])', '\\\1\2', 'g') AS role_inside
+  FROM turns
+),
+sized AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+         sum(length(inside) + CASE role WHEN 'system' THEN length('<<SYS>>  <</SYS>>') WHEN 'user' THEN length('<s>[INST]  [/INST]')
+             WHEN 'assistant' THEN length('  </s>') ELSE length('[ROLE]  [/ROLE]  </s>') + length(role_inside) END) OVER w AS up_to
+  FROM written WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(up_to) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
 """,
 }
