@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotcast.llm import byte_bpe, chat, decontaminate, simhash, token_files
+from depotcast.llm import byte_bpe, chat, decontaminate, simhash, substring_dedup, token_files
 from depotcast.llm.common import scratch_folder, stored, table
 
 #: Appended to every document by ``op1_token_files``.
@@ -80,12 +80,23 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps when repeated windows go."""
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.col("repeats")
+    return cut.select(
+        "doc_id", found["n_words"].alias("n_words"), found["n_removed"].alias("n_removed"),
+        F.sha2(found["kept"].cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 #: Words of ``text`` as operators 2 and 10 take them.
@@ -141,5 +152,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(up_to) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
+""",
+    "op7_substring_dedup": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+places AS (
+  SELECT row, doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS words
+  FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)
+),
+judged AS (SELECT row, i, doc_id > min(doc_id) OVER (PARTITION BY words) AS again FROM places),
+gone AS (SELECT DISTINCT row, unnest(range(i, i + 13)) AS place FROM judged WHERE again),
+word AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM doc),
+kept AS (
+  SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS words FROM word ANTI JOIN gone USING (row, place) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (row)
 """,
 }
