@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import depotcast
 from depotcast.runtime import ensure_checkpoint_dir
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, in case it is not installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(depotcast.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="depotcast-"), "depotcast.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)  # the driver serves it to the executors
+    _SHIPPED.add(context.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,4 +78,19 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = (out, path)
+    return out
+
+
+#: Written tables that are still needed: the table itself (which keeps its id in use) and its folder.
+_STORED: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these very tables, once nothing reads them any more."""
+    for df in tables:
+        _, path = _STORED.pop(id(df))
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

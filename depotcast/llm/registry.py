@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotcast.llm import byte_bpe, chat, decontaminate, simhash, substring_dedup, token_files
+from depotcast.llm import byte_bpe, chat, decontaminate, language_id, simhash, substring_dedup, token_files
 from depotcast.llm.common import scratch_folder, stored, table
 
 #: Appended to every document by ``op1_token_files``.
@@ -90,6 +90,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model of the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    language = F.col("language")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), language["lang"].alias("lang_pred"), language["score"].alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
@@ -97,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 #: Words of ``text`` as operators 2 and 10 take them.
