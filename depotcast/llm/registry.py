@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotcast.llm import byte_bpe, chat, decontaminate, language_id, simhash, substring_dedup, token_files
+from depotcast.llm import byte_bpe, chat, decontaminate, embedding_dedup, language_id, license_scan, simhash, substring_dedup, token_counts, token_files
 from depotcast.llm.common import scratch_folder, stored, table
 
 #: Appended to every document by ``op1_token_files``.
@@ -80,6 +80,22 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Versions that ``op6_token_counts`` counts: kind, file and pattern.
+TOKENIZERS = {
+    "byte_bpe_50k": ("ranks", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    "words-1": ("words", None, None),
+}
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents, loaded as a batch of inserts that is then sent once more."""
+    docs = table(spark, sf_dir, "documents")
+    totals = token_counts.Rollup(spark, scratch_folder(spark, "token-counts"))
+    for _ in range(2):  # the second time changes nothing
+        totals.commit("load-1", token_counts.inserts(token_counts.count_tokens(docs, TOKENIZERS)))
+    return totals.totals()
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document keeps when repeated windows go."""
     cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -99,14 +115,32 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), language["lang"].alias("lang_pred"), language["score"].alias("score"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license templates in all documents."""
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = F.col("licenses")
+    return found.select(
+        "doc_id", *[of[n].alias(n) for n in ("n_words", "n_base", "first_word", "last_word")],
+        F.array_join(of["base_labels"], ",").alias("base_labels"), F.array_join(of["labels"], ",").alias("labels"), of["score"].alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
+    "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: Words of ``text`` as operators 2 and 10 take them.
@@ -180,5 +214,22 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(words, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (row)
+""",
+    "op8_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND list_sum(list_transform(embedding, x -> CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
+    AND list_sum(list_transform(embedding, x -> abs(x))) > 0
+),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+FROM embeddings e JOIN component c ON c.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
 """,
 }
