@@ -7,14 +7,14 @@ starts in a document with a smaller key.
 1. Anchors. The smallest hash of the ``ANCHOR``-word sequences in a window is its anchor; equal
    windows have equal anchors wherever they stand. One row per document and different anchor is
    counted, a fifth of the words or so; only windows whose anchor stands in two documents go on.
-2. Compaction. Neighbouring windows with one anchor are a path without branches, at most
-   ``PATH`` edges long. Equal paths of all documents become one row with the first document and
-   place it stands in; a passage in a thousand documents is from here on one path.
-3. Edges. Only different paths are taken apart into edges. Each edge gets the smallest document of
-   all paths that hold it (paths may share edges where passages begin or end differently), and the
-   edges of a path are put together again.
-4. Spans. Each document's paths are joined with what step 3 says of them; edges that follow each
-   other here and in the source are one span with its source coordinates.
+2. Compaction. Neighbouring windows with one anchor are a path, at most ``PATH`` edges long. Equal
+   paths of all documents become one row with the first document and place it stands in. All places
+   of an edge have its anchor, so where an anchor has one path only, the path does not branch and
+   stays whole: a passage in a thousand documents is one path there.
+3. Edges. Paths of the other anchors, where passages begin or end differently, are taken apart
+   into edges, and each edge gets the first document it stands in.
+4. Spans. Each document's paths and edges are joined with their sources; what follows each other
+   both here and in the source is one span with its source coordinates.
 5. Verification. The words of each source span are digested from the source document itself; a
    document's own span must give the same digest, else it stays.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotcast.llm.common import fresh, stored
+from depotcast.llm.common import forget, fresh, stored
 
 WINDOW = 13
 #: Words of an anchor.
@@ -119,43 +119,32 @@ def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
     return values[:n]
 
 
-def _rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array | pa.ChunkedArray) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def _flat(parts: list[np.ndarray], kind=np.uint64) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.empty(0, kind)
-
-
-def _anchor_rows(docs: DataFrame, window: int, anchor: int, with_key: bool) -> DataFrame:
-    """One row per document and different anchor."""
-    fields = [T.StructField("key", docs.schema["key"].dataType)] * with_key + [T.StructField("anchor", T.LongType())]
+def _anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(key, anchor): one row per document and different anchor."""
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("anchor", T.LongType())])
 
     def emit(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [np.unique(window_anchors(word_hashes(x), window, anchor)) for x in texts]
-            anchors = _flat(found).view(np.int64)
-            columns = [pa.array(anchors)]
-            if with_key:
-                columns.insert(0, batch.column("key").take(pa.array(np.repeat(np.arange(len(texts)), [len(f) for f in found]))))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            found = [np.unique(window_anchors(word_hashes(x), window, anchor)) for x in batch.column("text").to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            anchors = np.concatenate(found) if found else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), pa.array(anchors.view(np.int64))], names=schema.names)
 
-    return docs.select(*["key"] * with_key, "text").mapInArrow(emit, T.StructType(fields))
+    return docs.select("key", "text").mapInArrow(emit, schema)
 
 
 def _path_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Paths of the windows whose anchor is among ``anchors`` of the row: path, key, tid, place, edges."""
+    """Paths of the windows whose anchor is among ``anchors`` of the row."""
     key = docs.schema["key"]
     schema = T.StructType(
-        [T.StructField("path", T.LongType()), T.StructField("key", key.dataType), T.StructField("tid", T.LongType()),
-         T.StructField("place", T.LongType()), T.StructField("edges", T.ArrayType(T.LongType(), False))]
+        [T.StructField("anchor", T.LongType()), T.StructField("path", T.LongType()), T.StructField("key", key.dataType),
+         T.StructField("tid", T.LongType()), T.StructField("place", T.LongType()), T.StructField("edges", T.ArrayType(T.LongType(), False))]
     )
 
     def emit(batches):
         for batch in batches:
             texts, wanted = batch.column("text").to_pylist(), batch.column("anchors")
-            owners, places, sizes, ids, edges = [], [], [], [], []
+            owners, places, sizes, ids, anchors, edges = [], [], [], [], [], []
             for row, text in enumerate(texts):
                 hashes = word_hashes(text)
                 least = window_anchors(hashes, window, anchor)
@@ -177,6 +166,7 @@ def _path_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 places.append(here[cut])
                 sizes.append(size)
                 ids.append(path)
+                anchors.append(anchor_of[cut])
                 edges.append(values)
             if not owners:
                 continue
@@ -184,7 +174,7 @@ def _path_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(edges).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(ids).view(np.int64)), batch.column("key").take(owner), batch.column("tid").take(owner),
+                [pa.array(np.concatenate(x).view(np.int64)) for x in (anchors, ids)] + [batch.column("key").take(owner), batch.column("tid").take(owner),
                  pa.array(np.concatenate(places).astype(np.int64)), lists],
                 names=[f.name for f in schema],
             )
@@ -192,85 +182,65 @@ def _path_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(emit, schema)
 
 
+def _first_and_last(rows: DataFrame, *keys: str) -> DataFrame:
+    """By ``keys``: the smallest document key with a text and place of it, and the largest key.
+
+    Rows without a key count as larger than any. All parts have a fixed width, so that the
+    aggregation stays in a hash table; the three minima pick the same row.
+    """
+    return rows.groupBy(*keys).agg(
+        F.min("key").alias("source"), F.min_by("tid", "key").alias("source_tid"), F.min_by("place", "key").alias("source_place"),
+        F.max("key").alias("last"), F.max(F.col("key").isNull()).alias("last_without"),
+    )
+
+
+#: Someone after the source has it, and there is a source.
+_AGAIN = "source is not null and (last_without or last > source)"
+
+
 def _source_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(key, tid, spans) of the documents (key, tid, text) with repeated windows; a span has its
     first word, its number of words, and the source's key, tid and first word."""
-    counted = _anchor_rows(docs, window, anchor, False).groupBy("anchor").agg(F.count("*").alias("n"))
-    repeated = stored(counted.where("n > 1").select("anchor"), "anchors")
-    wanted = _anchor_rows(docs, window, anchor, True).join(repeated, "anchor", "left_semi")
-    of_doc = stored(wanted.groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "anchors")
-    candidates = docs.join(of_doc.withColumnRenamed("key", "doc"), F.col("key").eqNullSafe(F.col("doc"))).drop("doc")
+    anchors = stored(_anchor_rows(docs, window, anchor), "anchors")
+    repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
+    wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = stored(wanted, "wanted")
+    forget(anchors, repeated)
+    candidates = docs.join(wanted.withColumnRenamed("key", "doc"), F.col("key").eqNullSafe(F.col("doc"))).drop("doc")
     paths = stored(_path_rows(candidates, window, anchor), "paths")
+    forget(wanted)
 
-    # equal paths are one; rows without a key are no source for others
-    place = F.struct(F.col("key").isNull().alias("no_key"), "key", "tid", "place")
-    different = stored(
-        paths.groupBy("path", F.get("edges", F.lit(0)).alias("head")).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("edges").alias("edges")),
-        "different",
+    # equal paths become one; an anchor with one path only does not branch
+    different = stored(_first_and_last(paths, "anchor", "path"), "different")
+    branching = stored(different.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "branching")
+    straight = stored(
+        different.where(_AGAIN).join(branching, "anchor", "left_anti").select("anchor", "path", "source", "source_tid", "source_place"), "straight"
     )
-    edges = different.select(
-        "path", "head", F.posexplode("edges").alias("at", "edge"), F.col("first.no_key").alias("no_key"), F.col("first.key").alias("key"),
-        F.col("first.tid").alias("tid"), F.col("first.place").alias("start"),
+    forget(different)
+    after = F.col("key").isNull() | (F.col("source") < F.col("key"))
+    whole = stored(
+        paths.select("anchor", "path", "key", "tid", "place", F.size("edges").alias("edges"))
+        .join(straight, ["anchor", "path"]).where(after).drop("anchor", "path"),
+        "whole",
     )
-    sources = stored(
-        edges.groupBy("edge").agg(
-            F.min(F.struct("no_key", "key", "tid", (F.col("start") + F.col("at")).alias("place"))).alias("source"),
-        ),
+    forget(straight)
+    # the others are taken apart into edges
+    edges = stored(
+        paths.join(branching, "anchor", "left_semi").select("key", "tid", "place", F.posexplode("edges").alias("at", "edge"))
+        .select("edge", "key", "tid", (F.col("place") + F.col("at")).alias("place")),
         "edges",
     )
-    # paths with an edge that some document has after its source
-    known = (
-        different.select("path", "head", F.col("last.key").alias("last"), F.col("last.no_key").alias("last_without"), F.posexplode("edges").alias("at", "edge"))
-        .join(sources, "edge")
-        .groupBy("path", "head")
-        .agg(
-            F.max(~F.col("source.no_key") & (F.col("last_without") | (F.col("last") > F.col("source.key")))).alias("some"),
-            F.transform(F.sort_array(F.collect_list(F.struct("at", "source"))), lambda x: x["source"]).alias("sources"),
-        )
-        .where("some")
-        .drop("some")
-    )
-    known = stored(known, "known")
-    here = paths.select("path", F.get("edges", F.lit(0)).alias("head"), "key", "tid", "place").join(known, ["path", "head"])
-    # neighbouring edges of one path with neighbouring places in one source are one step
-    steps = F.filter(
-        F.transform("sources", lambda s, i: F.struct(i.alias("at"), s.alias("source"))),
-        lambda x: ~x["source"]["no_key"] & (F.col("key").isNull() | (x["source"]["key"] < F.col("key"))),
-    )
-    begins = F.filter(
-        "steps",
-        lambda x: ~F.exists(
-            "steps",
-            lambda y: (y["at"] == x["at"] - 1) & y["source"]["key"].eqNullSafe(x["source"]["key"]) & (y["source"]["tid"] == x["source"]["tid"])
-            & (y["source"]["place"] == x["source"]["place"] - 1),
-        ),
+    forget(paths, branching)
+    sources = stored(
+        _first_and_last(edges, "edge").where(_AGAIN).select("edge", "source", "source_tid", "source_place"), "sources"
     )
-    runs = (
-        here.withColumn("steps", steps)
-        .where(F.size("steps") > 0)
-        .withColumn("begins", begins)
-        .select(
-            "key", "tid",
-            F.explode(
-                F.transform(
-                    "begins",
-                    lambda x, i: F.struct(
-                        (F.col("place") + x["at"]).alias("place"),
-                        F.size(
-                            F.filter(
-                                "steps",
-                                lambda y: (y["at"] >= x["at"])
-                                & (F.get("begins", i + 1).isNull() | (y["at"] < F.get("begins", i + 1)["at"])),
-                            )
-                        ).alias("edges"),
-                        x["source"].alias("source"),
-                    ),
-                )
-            ).alias("run"),
-        )
+    single = edges.join(sources, "edge").where(after).drop("edge").withColumn("edges", F.lit(1))
+    runs = whole.unionByName(single).groupBy("key", "tid").agg(
+        F.collect_set(F.struct("place", "edges", "source", "source_tid", "source_place")).alias("runs")
     )
-    grouped = runs.groupBy("key", "tid").agg(F.collect_set("run").alias("runs"))
-    return stored(_joined_runs(grouped, window), "spans")
+    spans = stored(_joined_runs(runs, window), "spans")
+    forget(whole, edges, sources)
+    return spans
 
 
 def _joined_runs(grouped: DataFrame, window: int) -> DataFrame:
@@ -289,12 +259,13 @@ def _joined_runs(grouped: DataFrame, window: int) -> DataFrame:
             for runs in batch.column("runs").to_pylist():
                 spans: list[list] = []
                 for run in sorted(runs, key=lambda r: r["place"]):
-                    at, n, source = run["place"], run["edges"], run["source"]
+                    at, n = run["place"], run["edges"]
+                    source = [run["source"], run["source_tid"], run["source_place"]]
                     last = spans[-1] if spans else None
-                    if last and at == last[0] + last[1] and source["place"] == last[4] + last[1] and source["key"] == last[2] and source["tid"] == last[3]:
+                    if last and at == last[0] + last[1] and source == [*last[2:4], last[4] + last[1]]:
                         last[1] += n
                     else:
-                        spans.append([at, n, source["key"], source["tid"], source["place"]])
+                        spans.append([at, n, *source])
                 out.append([{"first": a, "words": n + window - 1, "source": k, "source_tid": t, "source_first": p} for a, n, k, t, p in spans])
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tid"), pa.array(out, kind)], names=["key", "tid", "spans"])
 
@@ -337,7 +308,9 @@ def _source_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
     sources = docs.join(per_source, ["key", "tid"]).mapInArrow(answer, schema)
     answers = stored(sources.groupBy("source", "source_tid", "source_first", "words").agg(F.first("digest").alias("digest")), "digests")
     told = one.select("key", "tid", "span.*").join(answers, ["source", "source_tid", "source_first", "words"])
-    return stored(told.groupBy("key", "tid").agg(F.collect_list(F.struct("first", "words", "digest")).alias("spans")), "spans")
+    out = stored(told.groupBy("key", "tid").agg(F.collect_list(F.struct("first", "words", "digest")).alias("spans")), "spans")
+    forget(spans, answers)
+    return out
 
 
 RESULT = T.StructType(
