@@ -1,4 +1,4 @@
-"""Business parameters. Nothing here has a domain default: callers state their own labels."""
+"""Business parameters. Labels have no default; shapes of models and bands have the usual ones."""
 
 from __future__ import annotations
 
@@ -66,6 +66,9 @@ class BoostedConfig:
     trees: int = 800
     learning_rate: float = 0.05
     max_depth: int = 5
+    # split points looked at per feature, and the fewest rows of a leaf
+    max_bins: int = 255
+    min_leaf: int = 20
     seed: int = 42
 
 

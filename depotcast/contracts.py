@@ -17,7 +17,7 @@ def _schema(**columns: T.DataType) -> T.StructType:
 
 
 STOCK_SNAPSHOT = _schema(
-    snapshot_ts=_TS, branch=_STRING, status_type=_STRING, status_desc=_STRING,
+    snapshot_ts=_TS, branch=_STRING, country=_STRING, status_type=_STRING, status_desc=_STRING,
     operational_flag=_STRING, product_rented=_STRING, product_class=_STRING, qty=_LONG,
 )
 BRANCH_REGISTER = _schema(
@@ -45,6 +45,13 @@ RENTED_COLUMNS = {
 }
 
 
+def placed_by(schema: T.StructType, sites: DataFrame | None) -> list[str]:
+    """Columns of a fact table: with ``sites`` its rows name a site instead of a branch and its country."""
+    if sites is None:
+        return schema.names
+    return ["site", *[c for c in schema.names if c not in ("branch", "country")]]
+
+
 def require(df: DataFrame, columns: Iterable[str], what: str) -> DataFrame:
     """Fail with the names of the missing columns before any job starts."""
     missing = [c for c in columns if c not in df.columns]

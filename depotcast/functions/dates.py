@@ -28,6 +28,16 @@ def is_month_opening(moment: Column) -> Column:
     return F.dayofmonth(moment) == 1
 
 
+def month_of(day: date) -> tuple[int, int]:
+    return day.year, day.month
+
+
+def in_month_of(column: str, day: date) -> Column:
+    """The timestamp or date column lies in the month of ``day``, as a range of the raw column."""
+    following = date(day.year + day.month // 12, day.month % 12 + 1, 1)
+    return (F.col(column) >= F.lit(day.replace(day=1))) & (F.col(column) < F.lit(following))
+
+
 def openings_between(first: date, last: date) -> list[date]:
     """First days of the months of two dates and of those in between."""
     months = range(first.year * 12 + first.month - 1, last.year * 12 + last.month)

@@ -82,6 +82,8 @@ def fit(training: Training) -> GBTRegressionModel:
         maxIter=config.trees,
         stepSize=config.learning_rate,
         maxDepth=config.max_depth,
+        maxBins=config.max_bins,
+        minInstancesPerNode=config.min_leaf,
         seed=config.seed,
     )
     return regressor.fit(_assembler(config).transform(rows).select("features", "label"))
@@ -140,6 +142,7 @@ def _starting_state(training: Training) -> DataFrame:
         history("value_log").alias("targets"),
         *extended,
         months.alias("month_number"),
+        last["population"].isNull().cast("double").alias("population_missing"),
     )
 
 
@@ -149,7 +152,7 @@ def _features_ahead(step: int, config: BoostedConfig) -> Column:
     position = F.col("known") + step
     parts = [F.reverse(F.slice("targets", -deep, deep))]
     parts += [F.reverse(F.slice(c, position - wide, wide)) for c in COVARIATES]
-    parts.append(F.array(*[F.col(f"{c}_code").cast("double") for c in ENCODED_COLUMNS]))
+    parts.append(F.array(*[F.col(f"{c}_code").cast("double") for c in ENCODED_COLUMNS], F.col("population_missing")))
     return array_to_vector(F.concat(*parts))
 
 

@@ -81,6 +81,7 @@ def feature_names(config: BoostedConfig) -> list[str]:
         *[f"value_lag_{k}" for k in range(1, config.target_lags + 1)],
         *[f"{c}_lag_{k}" for c in COVARIATES for k in range(1, config.covariate_lags + 1)],
         *[f"{c}_code" for c in ENCODED_COLUMNS],
+        "population_missing",
     ]
 
 
@@ -108,9 +109,23 @@ def lag_features(encoded: DataFrame, config: BoostedConfig) -> DataFrame:
 
 
 def complete_rows(features: DataFrame, config: BoostedConfig) -> DataFrame:
-    """Rows whose lags reach back far enough; a NULL population becomes 0."""
-    names = feature_names(config)
-    return features.filter(F.col(f"value_lag_{config.target_lags}").isNotNull()).na.fill(0, names)
+    """Rows whose lags reach back far enough.
+
+    A NULL population becomes 0 and is marked in ``population_missing``; a NULL category code
+    fails the query.
+    """
+    known = features.filter(F.col(f"value_lag_{config.target_lags}").isNotNull()).withColumn(
+        "population_missing", F.col("population_lag_1").isNull().cast("double")
+    )
+    codes = {
+        f"{c}_code": F.coalesce(
+            f"{c}_code", F.raise_error(F.lit(f"a row has no code for its {c}")).cast("long")
+        )
+        for c in ENCODED_COLUMNS
+    }
+    return known.withColumns(codes).na.fill(
+        0, [f"population_lag_{k}" for k in range(1, config.covariate_lags + 1)]
+    )
 
 
 def future_covariates(panel: DataFrame, horizon: int = 12) -> DataFrame:

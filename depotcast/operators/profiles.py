@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotcast.functions.measures import quoted
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
+_FLOATING = (T.DoubleType, T.FloatType)
 _LONG_VALUES = (*_NESTED, T.StringType, T.BinaryType)
 
 
@@ -19,8 +20,6 @@ def _text(value: str, kind: T.DataType) -> str:
     """Text of a value the way a sheet would show it; nested values have none."""
     if isinstance(kind, _NESTED):
         return "CAST(NULL AS STRING)"
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return f"CAST(try_cast({value} AS DECIMAL(30,6)) AS STRING)"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return f"date_format({value}, 'yyyy-MM-dd HH:mm:ss')"
     return f"CAST({value} AS STRING)"
@@ -44,11 +43,17 @@ def _statistics(name: str, table: DataFrame) -> DataFrame:
         aggregates += [
             f"count({column}) AS present_{i}", f"{least} AS min_{i}", f"{most} AS max_{i}",
             f"CAST({length} AS BIGINT) AS length_{i}",
+            *[
+                (f"CAST({f}({column}) AS DOUBLE)" if isinstance(kind, _FLOATING) else "CAST(NULL AS DOUBLE)")
+                + f" AS {f}_number_{i}"
+                for f in ("min", "max")
+            ],
         ]
         rows.append(
             f"named_struct('ordinal', {i + 1}L, 'column_name', {quoted(field.name)}, "
             f"'data_type', {quoted(kind.simpleString())}, 'null_count', n - present_{i}, "
-            f"'min_value', min_{i}, 'max_value', max_{i}, 'max_text_length', length_{i})"
+            f"'min_value', min_{i}, 'max_value', max_{i}, 'max_text_length', length_{i}, "
+            f"'min_number', min_number_{i}, 'max_number', max_number_{i})"
         )
     return table.selectExpr(*aggregates).selectExpr(
         f"{quoted(name)} AS table_name", f"inline(array({', '.join(rows)}))"
@@ -102,8 +107,28 @@ def _approximate_distinct_counts(table: DataFrame) -> DataFrame:
     ).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
+def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """Schema, table, column, ordinal and type of every table and view that the catalogue lists.
+
+    The listing itself is metadata, one entry per column, and is made by the driver.
+    """
+    database = database or spark.catalog.currentDatabase()
+    entries = []
+    for table in spark.catalog.listTables(database):
+        name = f"`{table.name}`" if table.isTemporary else f"`{database}`.`{table.name}`"
+        for ordinal, field in enumerate(spark.table(name).schema.fields, 1):
+            entries.append((None if table.isTemporary else database, table.name, field.name, ordinal, field.dataType.simpleString()))
+    schema = "table_schema string, table_name string, column_name string, ordinal int, data_type string"
+    return spark.createDataFrame(sorted(entries, key=lambda e: (e[0] or "", e[1], e[3])), schema)
+
+
 def column_profile(tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
-    """Per table and column: position, type, NULLs, distinct values, extremes and text width."""
+    """Per table and column: position, type, NULLs, distinct values, extremes and text width.
+
+    Extremes are text; floating-point columns have theirs as numbers, too. Text, binary and
+    nested values are counted by digest, and the approximate count is off by 5% (one standard
+    deviation) without ``exact``.
+    """
     count = _exact_distinct_counts if exact else _approximate_distinct_counts
     statistics = [_statistics(n, t) for n, t in tables.items()]
     distincts = [

@@ -67,11 +67,11 @@ def population_by_country(long: DataFrame) -> DataFrame:
 def per_capita(wide: DataFrame) -> DataFrame:
     """Rented units of the whole period per inhabitant of the country's cities."""
     products = [c for c, product in RENTED_COLUMNS.items() if product != TOTAL]
-    require(wide, ["country", "city", "population", *products], "wide table")
+    require(wide, ["country", "state", "city", "population", *products], "wide table")
     units = sum((F.coalesce(F.col(c), F.lit(0)) for c in products), F.lit(0))
     cities = (
         wide.filter(F.col("country").isNotNull() & F.col("population").isNotNull())
-        .groupBy("country", "city")
+        .groupBy("country", "state", "city")
         .agg(F.sum(units).alias("value"), F.max("population").alias("population"))
     )
     return (

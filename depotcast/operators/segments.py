@@ -49,11 +49,14 @@ def branch_segments(register: DataFrame, rules: SegmentRules) -> DataFrame:
         "pop_bucket",
     )
     bucket = F.col("pop_bucket")
-    capitals = [city for _, city in rules.capital_overrides]
+    is_capital = F.lit(False)
+    for region, city in rules.capital_overrides:
+        same = (F.col("region") == region) & (F.col("city") == city)
+        is_capital = is_capital | F.coalesce(same, F.lit(False))
     return ranked.select(
         "branch", "country", "city", "state", "region", "third_party", "population", "pop_bucket",
         _letter(bucket, rules).alias("pop_letter"),
         _tier(bucket, rules).alias("urban_tier"),
         _consolidated(rules).alias("region_consolidated"),
-        F.col("city").isin(*capitals).cast("int").alias("is_capital"),
+        is_capital.cast("int").alias("is_capital"),
     )

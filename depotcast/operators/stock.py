@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotcast.config import StockLabels
-from depotcast.contracts import STOCK_SNAPSHOT, require
+from depotcast.contracts import STOCK_SNAPSHOT, placed_by, require
 from depotcast.functions.dates import (
     closes_between,
     closing_month_end,
     is_month_opening,
     month_ends,
+    month_of,
     on_days,
     openings_between,
 )
 from depotcast.functions.measures import FLOW_MEASURES, measures_named, quoted, stock_measures
+from depotcast.operators.sites import place_column, to_branches
 from depotcast.runtime import materialize
 
 _KEYS = ("branch", "country", "third_party")
@@ -31,33 +33,45 @@ def stock_flow_sum(
     country: str,
     first: date | None = None,
     last: date | None = None,
+    sites: DataFrame | None = None,
 ) -> DataFrame:
-    """Every snapshot of a month summed per own branch of one country.
+    """Every snapshot of one country in a month, summed per own branch.
 
-    The snapshots are aggregated to branch-months first and meet the register
-    afterwards, so no raw row is shuffled and a branch that holds a large share
-    of them costs no more than any other. ``first`` and ``last`` limit the result
-    to those months, on the raw column, so that other months are not read.
+    The country is the one the snapshot states; the result shows the register's.
+    The snapshots are aggregated first and meet the register, and before it the
+    ``sites`` (site, branch, country) if they name those, afterwards. ``first`` and
+    ``last`` limit the result to those months, on the raw column, so that other
+    months are not read.
     """
-    require(snapshots, STOCK_SNAPSHOT.names, "stock snapshots")
+    require(snapshots, placed_by(STOCK_SNAPSHOT, sites), "stock snapshots")
     require(register, _KEYS, "branch register")
     measures = measures_named(labels, FLOW_MEASURES)
     if first is not None and last is not None:
         snapshots = snapshots.filter(closes_between(F.col("snapshot_ts"), first, last))
-    monthly = snapshots.groupBy(
-        closing_month_end(F.col("snapshot_ts")).alias("month_end"), "branch"
-    ).agg(*[m.total() for m in measures])
-    own = register.filter((F.col("country") == country) & (F.col("third_party") == 0))
+    if sites is None:
+        snapshots = snapshots.filter(F.col("country") == country)
+    else:
+        sites = sites.filter(F.col("country") == country)
+    monthly = to_branches(
+        snapshots.groupBy(
+            closing_month_end(F.col("snapshot_ts")).alias("month_end"), place_column(sites)
+        ).agg(*[m.total() for m in measures]),
+        sites, ["month_end"], [m.name for m in measures],
+    )
+    own = register.filter(F.col("third_party") == 0)
     return monthly.join(own.select("branch", "country"), "branch").select(
         "month_end", "country", "branch", *[m.name for m in measures]
     )
 
 
-def snapshot_span(snapshots: DataFrame) -> tuple[date, date]:
-    """First and last snapshot day: a scan of one column and one row for the driver."""
+def snapshot_span(snapshots: DataFrame) -> tuple[date, date] | None:
+    """First and last snapshot day: a scan of one column and one row for the driver.
+
+    None for an empty table.
+    """
     day = F.col("snapshot_ts").cast("date")
     first, last = snapshots.agg(F.min(day), F.max(day)).first()
-    return first, last
+    return None if first is None else (first, last)
 
 
 def _latest_day(snapshots: DataFrame, span: tuple[date, date] | None) -> Column:
@@ -73,6 +87,8 @@ def stock_month_end(
     include_latest: bool = True,
     measures: Sequence[str] | None = None,
     span: tuple[date, date] | None = None,
+    sites: DataFrame | None = None,
+    month: date | None = None,
 ) -> DataFrame:
     """Month-end stock: the snapshots that open a month, and the latest one if wanted.
 
@@ -81,9 +97,11 @@ def stock_month_end(
     up under a NULL branch. ``measures`` limits the result to some of the 32
     measures. With the ``span`` of the snapshots at hand the days to keep are
     spelled out as ranges that reach the file scan, so that a table sorted or
-    partitioned by time is read for those days only.
+    partitioned by time is read for those days only; the query fails if a snapshot
+    lies outside it. ``sites`` gives the branch of each site if the snapshots name sites.
+    ``month`` limits the result to the month of that day, and the scan to its days.
     """
-    require(snapshots, STOCK_SNAPSHOT.names, "stock snapshots")
+    require(snapshots, placed_by(STOCK_SNAPSHOT, sites), "stock snapshots")
     require(register, ("branch", "country"), "branch register")
     moment = F.col("snapshot_ts")
     keep, label = is_month_opening(moment), F.date_sub(moment.cast("date"), 1)
@@ -96,11 +114,24 @@ def stock_month_end(
     if span is not None:
         # the same days again, in a form the scan can use to skip row groups
         days = openings_between(*span) + ([span[1]] if include_latest else [])
-        keep = keep & on_days("snapshot_ts", days)
+        outside = (moment < F.lit(span[0])) | (moment >= F.lit(span[1] + timedelta(days=1)))
+        if month is not None:
+            # the day that opens the next month, and the latest one if it is in this month
+            days = [x for x in days if month_of(x - timedelta(days=1)) == month_of(month)] + (
+                [span[1]] if include_latest and month_of(span[1]) == month_of(month) else []
+            )
+        elsewhere = on_days("snapshot_ts", days) if days else F.lit(False)
+        keep = keep & elsewhere if month is not None else outside | keep & elsewhere
+        stale = F.raise_error(F.lit(f"a snapshot lies outside {span[0]} to {span[1]}")).cast("date")
+        label = F.when(outside, stale).otherwise(label)
     wanted = stock_measures(labels) if measures is None else measures_named(labels, measures)
     names = [m.name for m in wanted]
-    monthly = (
-        snapshots.filter(keep).groupBy(label.alias("month_end"), "branch").agg(*[m.total() for m in wanted])
+    if month is not None:
+        keep = keep & (label == F.last_day(F.lit(month)))
+    monthly = to_branches(
+        snapshots.filter(keep)
+        .groupBy(label.alias("month_end"), place_column(sites)).agg(*[m.total() for m in wanted]),
+        sites, ["month_end"], names,
     )
     known = register.select(F.col("branch").alias("known_branch"), "country")
     # the second, tiny aggregation folds unregistered branches into one group
@@ -115,7 +146,9 @@ def _sale_total(labels: StockLabels) -> Column:
     return F.expr(f"sum(CASE WHEN status_type = {quoted(labels.sale)} THEN qty ELSE 0 END)")
 
 
-def branch_month_grid(snapshots: DataFrame, labels: StockLabels, as_of: date) -> DataFrame:
+def branch_month_grid(
+    snapshots: DataFrame, labels: StockLabels, as_of: date, sites: DataFrame | None = None
+) -> DataFrame:
     """Sale stock on every (month, branch): closed months so far and the next twelve.
 
     The status tells a measured month from an empty one and both from a month
@@ -125,8 +158,11 @@ def branch_month_grid(snapshots: DataFrame, labels: StockLabels, as_of: date) ->
     open_month = F.last_day(F.date_sub(day, 1))
     # read by the months, the branches and the values below: written once
     measured = materialize(
-        snapshots.groupBy(closing_month_end(F.col("snapshot_ts")).alias("month_end"), "branch").agg(
-            _sale_total(labels).alias("measured")
+        to_branches(
+            snapshots.groupBy(
+                closing_month_end(F.col("snapshot_ts")).alias("month_end"), place_column(sites)
+            ).agg(_sale_total(labels).alias("measured")),
+            sites, ["month_end"], ["measured"],
         )
     )
     history = measured.filter(F.col("month_end") < open_month).agg(

@@ -28,6 +28,9 @@ class Inputs:
     maintenance: DataFrame
     indicators: DataFrame
     sales: DataFrame
+    # where facts name a site instead of a branch: the sites of stock, units and jobs, and of movements and sales
+    stock_sites: DataFrame | None = None
+    sale_sites: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -38,26 +41,27 @@ class RunConfig:
     since: date
     internal_job: str
     as_of: date
-    # last month every source covers; the model does not see later ones
-    last_closed: date
     ensemble: EnsembleConfig
     output: str
     boosted: BoostedConfig = field(default_factory=BoostedConfig)
     csv: bool = False
+    # if given, the model does not see later months (the last one that every source covers)
+    last_closed: date | None = None
 
 
 def build_wide(inputs: Inputs, config: RunConfig) -> DataFrame:
     """The planning table over the logical inputs; only the span of the snapshots is read at once."""
     position = stock.stock_month_end(
-        inputs.snapshots, inputs.register, config.labels, span=stock.snapshot_span(inputs.snapshots)
+        inputs.snapshots, inputs.register, config.labels, span=stock.snapshot_span(inputs.snapshots),
+        sites=inputs.stock_sites,
     )
     snapshot_wide = wide.wide_table_snapshot(
         position,
-        flows.invoiced_units(inputs.movements),
-        flows.produced_units(inputs.units, inputs.register, config.country),
-        flows.demand_by_product(inputs.sales, config.since, config.labels.classes),
+        flows.invoiced_units(inputs.movements, sites=inputs.sale_sites),
+        flows.produced_units(inputs.units, inputs.register, config.country, sites=inputs.stock_sites),
+        flows.demand_by_product(inputs.sales, config.since, config.labels.classes, sites=inputs.sale_sites),
         workshop.workshop_agg_then_join(
-            inputs.maintenance, inputs.indicators, config.since, config.internal_job
+            inputs.maintenance, inputs.indicators, config.since, config.internal_job, sites=inputs.stock_sites
         ),
     )
     return wide.planning_table(
@@ -86,9 +90,8 @@ def run(inputs: Inputs, config: RunConfig) -> dict[str, DataFrame]:
     by_method = publish("ensemble_forecast", ensemble.ensemble_forecast(table, config.ensemble))
     publish("ensemble_summary", ensemble.ensemble_summary(by_method))
 
-    training = boosted.prepare(
-        dense.filter(F.col("date") <= F.lit(config.last_closed)), config.boosted
-    )
+    seen = dense if config.last_closed is None else dense.filter(F.col("date") <= F.lit(config.last_closed))
+    training = boosted.prepare(seen, config.boosted)
     model = boosted.fit(training)
     errors = publish("holdout_errors", boosted.holdout_errors(model, training))
     publish("holdout_overall", boosted.overall_error(errors))

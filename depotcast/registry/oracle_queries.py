@@ -18,6 +18,8 @@ SNAPSHOT = """
 snapshot AS (
   SELECT l_shipdate AS snapshot_ts, CAST(l_shipdate AS DATE) AS day,
          CAST(s_nationkey AS VARCHAR) AS branch,
+         (SELECT CASE WHEN r_name = 'AMERICA' THEN 'ABROAD' ELSE 'HOME' END FROM nation
+          LEFT JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = s_nationkey) AS stated_country,
          'T' || CAST(CAST(round(l_tax * 100) AS INTEGER) AS VARCHAR) AS status_type,
          p_brand AS status_desc, l_linestatus AS operational_flag,
          CASE WHEN p_type IN ('STANDARD', 'ECONOMY') THEN 'new'
@@ -34,9 +36,8 @@ register AS (
          CASE WHEN r_name = 'AMERICA' THEN 'ABROAD' ELSE 'HOME' END AS country,
          n_name AS city, r_name AS region, n_name AS state,
          CASE WHEN r_name = 'MIDDLE EAST' THEN 1 ELSE 0 END AS third_party,
-         CASE WHEN n_name <> 'NATION_24' THEN
-           (SELECT CAST(floor(sum(CAST(c_acctbal AS DECIMAL(18,2)))) AS BIGINT)
-            FROM customer WHERE c_nationkey = n_nationkey) END AS population
+         (SELECT CAST(floor(sum(CAST(c_acctbal AS DECIMAL(18,2)))) AS BIGINT)
+          FROM customer WHERE c_nationkey = n_nationkey) AS population
   FROM nation LEFT JOIN region ON r_regionkey = n_regionkey)"""
 
 SALE = """
@@ -116,7 +117,7 @@ stock_flow AS (
   SELECT last_day(day - 1) AS month_end, register.country, register.branch,
          {_sums(_FLOW)}
   FROM snapshot JOIN register ON register.branch = snapshot.branch
-  WHERE register.country = 'HOME' AND register.third_party = 0
+  WHERE stated_country = 'HOME' AND register.third_party = 0
   GROUP BY ALL)"""
 
 
@@ -190,7 +191,8 @@ segment AS (
               WHEN region = 'ASIA' AND city = 'NATION_2' THEN 'NATION_2 (capital)'
               WHEN region = 'EUROPE' AND city = 'NATION_3' THEN 'NATION_3 (capital)'
               ELSE region END AS region_consolidated,
-         CASE WHEN city IN ('NATION_2', 'NATION_3') THEN 1 ELSE 0 END AS is_capital
+         CASE WHEN (region = 'ASIA' AND city = 'NATION_2') OR (region = 'EUROPE' AND city = 'NATION_3')
+              THEN 1 ELSE 0 END AS is_capital
   FROM (SELECT *, CAST(ntile(5) OVER (ORDER BY population, branch) AS INTEGER) AS pop_bucket
         FROM register WHERE population IS NOT NULL))"""
 
@@ -455,7 +457,7 @@ def _profile_column(table: str, ordinal: int, name: str, kind: str) -> str:
         if kind.startswith("array"):
             return "CAST(NULL AS VARCHAR)"
         if kind == "double":
-            return f"CAST(CAST({value} AS DECIMAL(30,6)) AS VARCHAR)"
+            return "CAST(NULL AS VARCHAR)"
         if kind == "timestamp_ntz":
             return f"strftime({value}, '%Y-%m-%d %H:%M:%S')"
         return f"CAST({value} AS VARCHAR)"
@@ -464,8 +466,12 @@ def _profile_column(table: str, ordinal: int, name: str, kind: str) -> str:
         f"SELECT '{table}' AS table_name, CAST({ordinal} AS BIGINT) AS ordinal, '{name}' AS column_name, "
         f"'{kind}' AS data_type, count(*) - count({name}) AS null_count, "
         f"count(DISTINCT {name}) AS distinct_count, {text(f'min({name})')} AS min_value, "
-        f"{text(f'max({name})')} AS max_value, CAST(max(length({text(name)})) AS BIGINT) AS max_text_length "
-        f"FROM {table}"
+        f"{text(f'max({name})')} AS max_value, CAST(max(length({text(name)})) AS BIGINT) AS max_text_length, "
+        + ", ".join(
+            (f"{f}({name})" if kind == "double" else "CAST(NULL AS DOUBLE)") + f" AS {f}_number" for f in ("min", "max")
+        )
+        + " "
+        + f"FROM {table}"
     )
 
 
@@ -587,7 +593,10 @@ HAVING day - 1 < (SELECT max(last_day(day - 1)) FROM snapshot)""",
         query="SELECT CAST(sum(value) AS BIGINT) AS total FROM by_company WHERE product <> 'total'",
     ),
     "top_branches": _with(
-        *_WIDE_CTES, LONG, query=_total("long", "branch", "DOUBLE") + " ORDER BY total DESC, branch LIMIT 10"
+        *_WIDE_CTES, LONG, query="""
+SELECT country, branch, CAST(sum(value) AS DOUBLE) AS total FROM long
+WHERE product <> 'total' AND country IS NOT NULL AND branch IS NOT NULL
+GROUP BY country, branch ORDER BY total DESC, country, branch LIMIT 10"""
     ),
     "top_states": _with(
         *_PLANNING_CTES, BY_STATE,
@@ -605,9 +614,9 @@ GROUP BY country, state ORDER BY total DESC, country, state LIMIT 10""",
 SELECT country, CAST(sum(units) AS BIGINT) AS value, CAST(sum(population) AS BIGINT) AS population,
        round(CASE WHEN sum(population) > 0 THEN CAST(sum(units) AS DOUBLE) / sum(population) ELSE 0 END, 6)
          AS per_capita
-FROM (SELECT country, city, sum(rented_new + rented_semi + rented_used) AS units,
+FROM (SELECT country, state, city, sum(rented_new + rented_semi + rented_used) AS units,
              max(population) AS population
-      FROM planning WHERE country IS NOT NULL AND population IS NOT NULL GROUP BY country, city)
+      FROM planning WHERE country IS NOT NULL AND population IS NOT NULL GROUP BY country, state, city)
 GROUP BY country""",
     ),
     "population_by_country": _with(

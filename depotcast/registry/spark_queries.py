@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from depotcast.contracts import (
     SALES_COLUMNS,
     STATIC_COLUMNS,
 )
+from depotcast.functions.dates import in_month_of
 from depotcast.functions.numbers import from_log
 from depotcast.operators import boosted, ensemble, features, flows, panel, profiles, reports
 from depotcast.operators import restrictions as restriction_ops
@@ -23,8 +25,7 @@ from depotcast.sources import supplied as src
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# a model small enough for a query; the published shape is BoostedConfig()
-MODEL = BoostedConfig(trees=20)
+MODEL = BoostedConfig()
 ENSEMBLE_DIGITS = 4
 OPS_YEAR, OPS_MONTH = 2000, 1
 OPS_REQUEST = (
@@ -41,36 +42,40 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return segments.branch_segments(src.branch_register(spark, d), src.RULES)
 
 
-def _stock_month_end(spark: SparkSession, d: str, measures=None) -> DataFrame:
+def _stock_month_end(spark: SparkSession, d: str, measures=None, month: date | None = None) -> DataFrame:
     return stock.stock_month_end(
         src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS,
-        measures=measures, span=src.snapshot_span(spark, d),
+        measures=measures, span=src.snapshot_span(spark, d), sites=src.suppliers(spark, d),
+        month=month,
     )
 
 
 def _stock_flow(spark: SparkSession, d: str, first=None, last=None) -> DataFrame:
     return stock.stock_flow_sum(
         src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS, src.HOME,
-        first=first, last=last,
+        first=first, last=last, sites=src.suppliers(spark, d),
     )
 
 
 def _demand(spark: SparkSession, d: str) -> DataFrame:
-    return flows.demand_by_product(src.sales(spark, d), src.SINCE)
+    return flows.demand_by_product(src.sales(spark, d), src.SINCE, sites=src.customers(spark, d))
 
 
 def _workshop(spark: SparkSession, d: str) -> DataFrame:
     return workshop.workshop_agg_then_join(
-        src.maintenance(spark, d), src.daily_indicators(spark, d), src.SINCE, src.INTERNAL_JOB
+        src.maintenance(spark, d), src.daily_indicators(spark, d), src.SINCE, src.INTERNAL_JOB,
+        sites=src.suppliers(spark, d),
     )
 
 
 def _invoiced(spark: SparkSession, d: str) -> DataFrame:
-    return flows.invoiced_units(src.movements(spark, d))
+    return flows.invoiced_units(src.movements(spark, d), sites=src.customers(spark, d))
 
 
 def _produced(spark: SparkSession, d: str) -> DataFrame:
-    return flows.produced_units(src.current_units(spark, d), src.branch_register(spark, d), src.HOME)
+    return flows.produced_units(
+        src.current_units(spark, d), src.branch_register(spark, d), src.HOME, sites=src.suppliers(spark, d)
+    )
 
 
 def _wide_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -118,12 +123,6 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
     return panel.densify(panel.panel_long(materialize(_clean(spark, d))))
 
 
-def _closed_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Panel of the months every source covers, for the model."""
-    closed = _clean(spark, d).filter(F.col("month_end") <= F.lit(src.LAST_CLOSED_MONTH))
-    return panel.densify(panel.panel_long(materialize(closed)))
-
-
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -146,7 +145,7 @@ def stock_month_end(spark: SparkSession, d: str) -> DataFrame:
 def stock_month_start_only(spark: SparkSession, d: str) -> DataFrame:
     return stock.stock_month_end(
         src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS,
-        include_latest=False, span=src.snapshot_span(spark, d),
+        include_latest=False, span=src.snapshot_span(spark, d), sites=src.suppliers(spark, d),
     )
 
 
@@ -166,7 +165,8 @@ def active_restrictions(spark: SparkSession, d: str) -> DataFrame:
 
 def workshop_join_then_agg(spark: SparkSession, d: str) -> DataFrame:
     result = workshop.workshop_join_then_agg(
-        src.maintenance(spark, d), src.daily_indicators(spark, d), src.SINCE, src.INTERNAL_JOB
+        src.maintenance(spark, d), src.daily_indicators(spark, d), src.SINCE, src.INTERNAL_JOB,
+        sites=src.suppliers(spark, d),
     )
     return _rounded(result, 6, "mech_total", "mech_on_ramp")
 
@@ -196,7 +196,9 @@ def planning_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def branch_month_grid(spark: SparkSession, d: str) -> DataFrame:
-    return stock.branch_month_grid(src.stock_snapshots(spark, d), src.LABELS, src.AS_OF)
+    return stock.branch_month_grid(
+        src.stock_snapshots(spark, d), src.LABELS, src.AS_OF, sites=src.suppliers(spark, d)
+    )
 
 
 def company_closed_months(spark: SparkSession, d: str) -> DataFrame:
@@ -308,7 +310,7 @@ def grand_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_branches(spark: SparkSession, d: str) -> DataFrame:
-    return reports.top_keys(_branch_product_long(spark, d), ["branch"], 10)
+    return reports.top_keys(_branch_product_long(spark, d), ["country", "branch"], 10)
 
 
 def top_states(spark: SparkSession, d: str) -> DataFrame:
@@ -353,9 +355,13 @@ def cross_tab_country(spark: SparkSession, d: str) -> DataFrame:
 
 def ops_list(spark: SparkSession, d: str) -> DataFrame:
     measures = ["rented_total", "operational_total", "maintenance_total", "ready_total"]
-    listed = _stock_month_end(spark, d, measures).join(
-        _workshop(spark, d), ["month_end", "branch"], "left"
+    month = date(OPS_YEAR, OPS_MONTH, 1)
+    # one month is wanted: its days are put to each fact table, not to the labels derived from them
+    jobs = workshop.workshop_agg_then_join(
+        src.maintenance(spark, d).filter(in_month_of("finished_ts", month)),
+        src.daily_indicators(spark, d, month), src.SINCE, src.INTERNAL_JOB, sites=src.suppliers(spark, d),
     )
+    listed = _stock_month_end(spark, d, measures, month).join(jobs, ["month_end", "branch"], "left")
     return reports.ops_list(
         listed, OPS_YEAR, OPS_MONTH, OPS_REQUEST, "maint_internal", ratios=True
     )
@@ -411,13 +417,13 @@ def future_covariates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gbt_holdout_mae(spark: SparkSession, d: str) -> DataFrame:
-    training = boosted.prepare(_closed_panel(spark, d), MODEL)
+    training = boosted.prepare(_panel(spark, d), MODEL)
     errors = boosted.holdout_errors(boosted.fit(training), training)
     return boosted.overall_error(errors)
 
 
 def gbt_forecast_12m(spark: SparkSession, d: str) -> DataFrame:
-    training = boosted.prepare(_closed_panel(spark, d), MODEL)
+    training = boosted.prepare(_panel(spark, d), MODEL)
     return boosted.recursive_forecast(boosted.fit(training), training)
 
 
@@ -470,7 +476,12 @@ def scenario_branches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.column_profile({t: src.load(spark, d, t) for t in PROFILED}, exact=True)
+    found = profiles.column_profile({t: src.load(spark, d, t) for t in PROFILED}, exact=True)
+    # the text of a floating-point number differs between engines, its value does not
+    floating = F.col("data_type").isin("double", "float")
+    return found.withColumns(
+        {c: F.when(~floating, F.col(c)) for c in ("min_value", "max_value", "max_text_length")}
+    )
 
 
 QUERIES: dict[str, Query] = {

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotcast.config import EnsembleConfig, SegmentRules, StockLabels
+from depotcast.functions.dates import in_month_of
 from depotcast.operators import stock
 
 # fixed values: the columns of the supplied tables and their types
@@ -54,11 +55,10 @@ RULES = SegmentRules(
 INTERNAL_JOB = "internal"
 PENDING_STATUSES = (1, 2, 3, 4)
 
-# the first day of the data, the last month all sources cover, and a day to plan from
+# the first day of the data, the months of the wide table, and a day to plan from
 SINCE = date(1995, 1, 1)
 FIRST_MONTH = date(1995, 1, 31)
 LAST_MONTH = date(2001, 12, 31)
-LAST_CLOSED_MONTH = date(2001, 7, 31)
 AS_OF = date(2001, 8, 15)
 ENSEMBLE = EnsembleConfig(cutoff=date(2001, 4, 30))
 
@@ -68,6 +68,10 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
+def _country(region: Column) -> Column:
+    return F.when(region == "AMERICA", ABROAD).otherwise(HOME)
+
+
 def _branch(column: str) -> Column:
     return F.col(column).cast("string").alias("branch")
 
@@ -77,6 +81,24 @@ def _thirds(column: str, first: tuple[str, ...], second: tuple[str, ...]) -> Col
     return F.when(value.isin(*first), "new").when(value.isin(*second), "semi").otherwise("used")
 
 
+def suppliers(spark: SparkSession, folder: str) -> DataFrame:
+    """The sites of shipped facts: each supplier's branch and the country it states."""
+    nations = load(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    regions = load(spark, folder, "region").select(
+        F.col("r_regionkey").alias("n_regionkey"), _country(F.col("r_name")).alias("country")
+    )
+    return (
+        load(spark, folder, "supplier")
+        .join(nations.join(regions, "n_regionkey", "left"), "s_nationkey", "left")
+        .select(F.col("s_suppkey").alias("site"), _branch("s_nationkey"), "country")
+    )
+
+
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    """The sites of ordered facts: each customer's branch."""
+    return load(spark, folder, "customer").select(F.col("c_custkey").alias("site"), _branch("c_nationkey"))
+
+
 def stock_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     parts = load(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"),
@@ -85,23 +107,19 @@ def stock_snapshots(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("p_size") <= 16, "new").when(F.col("p_size") <= 33, "semi").otherwise("used")
         .alias("product_class"),
     )
-    suppliers = load(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), _branch("s_nationkey")
-    )
     status = F.concat(F.lit("T"), F.round(F.col("l_tax") * 100).cast("int").cast("string"))
     return (
         load(spark, folder, "lineitem")
-        .join(suppliers, "l_suppkey", "left")
         .join(parts, "l_partkey", "left")
         .select(
-            F.col("l_shipdate").alias("snapshot_ts"), "branch", status.alias("status_type"),
+            F.col("l_shipdate").alias("snapshot_ts"), F.col("l_suppkey").alias("site"), status.alias("status_type"),
             "status_desc", F.col("l_linestatus").alias("operational_flag"), "product_rented",
             "product_class", F.col("l_quantity").cast("long").alias("qty"),
         )
     )
 
 
-def snapshot_span(spark: SparkSession, folder: str) -> tuple[date, date]:
+def snapshot_span(spark: SparkSession, folder: str) -> tuple[date, date] | None:
     """First and last snapshot day from the fact table alone, without its dimensions."""
     return stock.snapshot_span(
         load(spark, folder, "lineitem").select(F.col("l_shipdate").alias("snapshot_ts"))
@@ -122,64 +140,56 @@ def branch_register(spark: SparkSession, folder: str) -> DataFrame:
         .join(populations, "n_nationkey", "left")
         .select(
             _branch("n_nationkey"),
-            F.when(F.col("r_name") == "AMERICA", ABROAD).otherwise(HOME).alias("country"),
+            _country(F.col("r_name")).alias("country"),
             name.alias("city"),
             F.col("r_name").alias("region"),
             name.alias("state"),
             (F.col("r_name") == "MIDDLE EAST").cast("int").alias("third_party"),
-            # one branch without a population, as registers have
-            F.when(name != "NATION_24", F.col("total")).alias("population"),
+            F.col("total").alias("population"),
         )
     )
 
 
-def _orders(spark: SparkSession, folder: str) -> DataFrame:
-    customers = load(spark, folder, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), _branch("c_nationkey")
-    )
-    return load(spark, folder, "orders").join(customers, "o_custkey", "left")
-
-
 def movements(spark: SparkSession, folder: str) -> DataFrame:
-    return _orders(spark, folder).select(
-        F.col("o_orderdate").alias("moved_ts"), "branch", F.col("o_custkey").alias("unit_id"),
+    return load(spark, folder, "orders").select(
+        F.col("o_orderdate").alias("moved_ts"), F.col("o_custkey").alias("site"), F.col("o_custkey").alias("unit_id"),
         F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).alias("prev_status"),
     )
 
 
 def sales(spark: SparkSession, folder: str) -> DataFrame:
-    return _orders(spark, folder).select(
-        F.col("o_orderdate").alias("paid_on"), "branch", F.col("o_orderkey").alias("sale_id"),
+    return load(spark, folder, "orders").select(
+        F.col("o_orderdate").alias("paid_on"), F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("sale_id"),
         _thirds("o_orderpriority", ("1-URGENT", "2-HIGH"), ("3-MEDIUM",)).alias("product"),
     )
 
 
-def daily_indicators(spark: SparkSession, folder: str) -> DataFrame:
-    return _orders(spark, folder).groupBy(
-        "branch", F.col("o_orderdate").cast("date").alias("day")
+def daily_indicators(spark: SparkSession, folder: str, month: date | None = None) -> DataFrame:
+    orders = load(spark, folder, "orders")
+    if month is not None:
+        orders = orders.filter(in_month_of("o_orderdate", month))
+    # by customer and day first, so that a customer with very many orders is one row a day
+    daily = orders.groupBy(
+        F.col("o_custkey").alias("site"), F.col("o_orderdate").cast("date").alias("day")
     ).agg(
-        F.count(F.lit(1)).cast("double").alias("mech_total"),
-        F.min("o_totalprice").alias("mech_present"),
-        F.max("o_totalprice").alias("mech_on_ramp"),
+        F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most")
     )
-
-
-def _shipped(spark: SparkSession, folder: str) -> DataFrame:
-    suppliers = load(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), _branch("s_nationkey")
+    return daily.join(customers(spark, folder), "site", "left").groupBy("branch", "day").agg(
+        F.sum("n").cast("double").alias("mech_total"),
+        F.min("least").alias("mech_present"),
+        F.max("most").alias("mech_on_ramp"),
     )
-    return load(spark, folder, "lineitem").join(suppliers, "l_suppkey", "left")
 
 
 def current_units(spark: SparkSession, folder: str) -> DataFrame:
-    return _shipped(spark, folder).select(
-        F.col("l_shipdate").alias("created_ts"), "branch", F.col("l_orderkey").alias("unit_id")
+    return load(spark, folder, "lineitem").select(
+        F.col("l_shipdate").alias("created_ts"), F.col("l_suppkey").alias("site"), F.col("l_orderkey").alias("unit_id")
     )
 
 
 def maintenance(spark: SparkSession, folder: str) -> DataFrame:
-    return _shipped(spark, folder).select(
-        "branch", F.col("l_shipdate").alias("finished_ts"), F.col("l_orderkey").alias("job_id"),
+    return load(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("site"), F.col("l_shipdate").alias("finished_ts"), F.col("l_orderkey").alias("job_id"),
         F.when(F.col("l_returnflag") == "R", INTERNAL_JOB).otherwise("customer").alias("job_type"),
     )
 

@@ -5,7 +5,7 @@ from conftest import d, rows, ts
 
 from depotcast import contracts
 from depotcast.config import BoostedConfig
-from depotcast.operators.profiles import column_profile
+from depotcast.operators.profiles import catalog_columns, column_profile
 from depotcast.plans.full_run import Inputs, RunConfig, run
 from depotcast.registry.spark_queries import QUERIES
 from depotcast.runtime import ensure_checkpoint_dir
@@ -57,7 +57,7 @@ def test_profile_of_values_and_approximate_counts(spark):
     )
     want = {
         "n": ("int", 0, "1", "3", 1, 2), "s": ("string", 1, "a", "bb", 2, 2),
-        "x": ("double", 1, "-2.000000", "0.000000", 9, 2), "v": ("array<int>", 1, None, None, None, 2),
+        "x": ("double", 1, "-2.0", "0.0", 4, 2), "v": ("array<int>", 1, None, None, None, 2),
         "e": ("date", 4, None, None, None, 0),
     }
     for exact in (True, False):
@@ -69,15 +69,33 @@ def test_profile_of_values_and_approximate_counts(spark):
         assert [r.ordinal for r in got.collect()] == [1, 2, 3, 4, 5]
 
 
+def test_extremes_of_doubles_are_whole(spark):
+    data = spark.createDataFrame([(1e30,), (1e-9,), (-1e30,)], "x double")
+    (got,) = column_profile({"t": data}, exact=True).collect()
+    assert (got.min_number, got.max_number) == (-1e30, 1e30) and (float(got.min_value), float(got.max_value)) == (-1e30, 1e30)
+
+
+def test_approximate_counts_are_near_the_exact_ones(spark):
+    data = spark.range(20000).select((F.col("id") % 5000).alias("k"), F.col("id").cast("string").alias("s"))
+    exact, near = ({r.column_name: r.distinct_count for r in column_profile({"t": data}, exact=e).collect()} for e in (True, False))
+    assert exact == {"k": 5000, "s": 20000} and all(abs(near[c] - n) <= 0.15 * n for c, n in exact.items())
+
+
+def test_catalogue_lists_columns_in_order(spark):
+    spark.createDataFrame([(1, "a")], "n int, s string").createOrReplaceTempView("listed_here")
+    got = [tuple(r) for r in catalog_columns(spark).where("table_name = 'listed_here'").collect()]
+    assert got == [(None, "listed_here", "n", 1, "int"), (None, "listed_here", "s", 2, "string")]
+
+
 def test_full_run_writes_every_table(spark, small, tmp_path):
     inputs = Inputs(
         src.stock_snapshots(spark, small), src.branch_register(spark, small), src.movements(spark, small),
         src.current_units(spark, small), src.maintenance(spark, small), src.daily_indicators(spark, small),
-        src.sales(spark, small),
+        src.sales(spark, small), stock_sites=src.suppliers(spark, small), sale_sites=src.customers(spark, small),
     )
     config = RunConfig(
         labels=src.LABELS, rules=src.RULES, country=src.HOME, since=src.SINCE, internal_job=src.INTERNAL_JOB,
-        as_of=src.AS_OF, last_closed=src.LAST_CLOSED_MONTH, ensemble=src.ENSEMBLE, output=str(tmp_path),
+        as_of=src.AS_OF, ensemble=src.ENSEMBLE, output=str(tmp_path),
         boosted=BoostedConfig(trees=2, max_depth=2), csv=True,
     )
     tables = run(inputs, config)
@@ -93,7 +111,7 @@ def test_full_run_stops_at_the_first_error(spark, small, tmp_path):
     inputs = Inputs(*[src.sales(spark, small).withColumnRenamed("paid_on", "snapshot_ts")] * 7)
     config = RunConfig(
         labels=src.LABELS, rules=src.RULES, country=src.HOME, since=src.SINCE, internal_job=src.INTERNAL_JOB,
-        as_of=src.AS_OF, last_closed=src.LAST_CLOSED_MONTH, ensemble=src.ENSEMBLE, output=str(tmp_path),
+        as_of=src.AS_OF, ensemble=src.ENSEMBLE, output=str(tmp_path),
     )
     with pytest.raises(ValueError, match="stock snapshots lacks column"):
         run(inputs, config)

@@ -126,6 +126,24 @@ def test_per_capita_adds_the_population_of_each_city_once(wide):
     ]
 
 
+def test_cities_of_one_name_in_two_states_are_two_cities(spark):
+    wide = spark.createDataFrame(
+        [("X", "s1", "Springfield", 100, 5, 5, 0), ("X", "s2", "Springfield", 300, 10, 0, 0)],
+        "country string, state string, city string, population long, rented_new long, rented_semi long, rented_used long",
+    )
+    assert [r.asDict() for r in reports.per_capita(wide).collect()] == [
+        dict(country="X", value=20, population=400, per_capita=0.05)
+    ]
+
+
+def test_branches_of_one_name_in_two_countries_are_ranked_apart(spark):
+    long = spark.createDataFrame(
+        [("X", "b", "new", 3.0), ("Y", "b", "new", 4.0), ("X", "b", "total", 99.0)],
+        "country string, branch string, product string, value double",
+    )
+    assert [tuple(r) for r in reports.top_keys(long, ["country", "branch"], 10).collect()] == [("Y", "b", 4.0), ("X", "b", 3.0)]
+
+
 def test_cross_tab_fills_only_on_request(wide):
     long = rollups.branch_product_long(wide).filter("not (branch = 'c' and product = 'semi')")
     plain = {r.branch: r.semi for r in reports.cross_tab(long, "branch").collect()}

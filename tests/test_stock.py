@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import pytest
 from conftest import d, rows, ts
+from pyspark.sql import functions as F
 
 from depotcast.config import StockLabels
 from depotcast.contracts import BRANCH_REGISTER, STOCK_SNAPSHOT
@@ -18,7 +20,7 @@ LABELS = StockLabels(
 
 def snapshots(spark, *items):
     base = dict(
-        snapshot_ts=ts("2024-02-01"), branch="b1", status_type=None, status_desc=None,
+        snapshot_ts=ts("2024-02-01"), branch="b1", country="X", status_type=None, status_desc=None,
         operational_flag=None, product_rented=None, product_class=None, qty=1,
     )
     return spark.createDataFrame(
@@ -158,7 +160,7 @@ def test_flow_sum_adds_every_snapshot_of_own_branches_of_the_country(spark):
         # the first of March still describes February
         dict(snapshot_ts=ts("2024-03-01"), status_type="rented", qty=2),
         dict(snapshot_ts=ts("2024-03-02"), status_type="rented", qty=4),
-        dict(branch="other", status_type="rented", qty=8),
+        dict(branch="other", country="Y", status_type="rented", qty=8),
         dict(branch="partner", status_type="rented", qty=16),
         dict(branch="ghost", status_type="rented", qty=32),
     )
@@ -205,3 +207,50 @@ def test_company_total_stops_before_the_month_of_the_latest_snapshot(spark):
     assert [(r.date, r.sale_total, r.status) for r in got.collect()] == [
         (d("2024-02-27"), 3, "actual"), (d("2024-03-29"), 0, "actual"),
     ]
+
+
+def test_flow_sum_follows_the_country_the_snapshot_states_and_shows_the_registers(spark):
+    facts = snapshots(
+        spark,
+        dict(branch="moved", country="X", status_type="rented", qty=1),
+        dict(branch="moved", country="Y", status_type="rented", qty=2),
+    )
+    known = register(spark, dict(branch="moved", country="Z"))
+    got = stock.stock_flow_sum(facts, known, LABELS, "X")
+    assert [(r.country, r.branch, r.rented_total) for r in got.collect()] == [("Z", "moved", 1)]
+
+
+def test_no_snapshots_give_no_stock(spark):
+    facts = snapshots(spark)
+    assert stock.snapshot_span(facts) is None
+    got = stock.stock_month_end(facts, register(spark, {}), LABELS, span=stock.snapshot_span(facts))
+    assert got.collect() == []
+
+
+def test_a_span_that_snapshots_exceed_fails(spark):
+    facts = snapshots(spark, dict(status_type="rented"), dict(snapshot_ts=ts("2024-04-01"), status_type="rented"))
+    got = stock.stock_month_end(facts, register(spark, {}), LABELS, span=(d("2024-01-01"), d("2024-03-01")))
+    with pytest.raises(Exception, match="lies outside"):
+        got.collect()
+
+
+def test_one_month_of_stock_equals_that_month_of_all(spark):
+    facts = snapshots(
+        spark,
+        *[dict(snapshot_ts=ts(x), status_type="rented", qty=2**i)
+          for i, x in enumerate(("2024-01-31", "2024-02-01", "2024-02-15", "2024-03-01", "2024-03-14"))],
+    )
+    known, span = register(spark, {}), stock.snapshot_span(facts)
+    everything = rows(stock.stock_month_end(facts, known, LABELS, span=span), "month_end")
+    for month in ("2024-01-10", "2024-02-10", "2024-03-10"):
+        one_month = rows(stock.stock_month_end(facts, known, LABELS, span=span, month=d(month)))
+        assert one_month == [r for r in everything if r["month_end"].month == d(month).month] and one_month
+
+
+def test_sites_give_the_same_stock_as_branches(spark):
+    placed = snapshots(spark, *[dict(branch=b, status_type="rented", qty=q) for b, q in (("b1", 1), ("b1", 2), (None, 4))])
+    sited = placed.drop("branch", "country").withColumn("site", F.when(F.col("qty") == 4, 9).otherwise(F.col("qty")))
+    sites = spark.createDataFrame([(1, "b1", "X"), (2, "b1", "X"), (3, "b2", "X")], "site long, branch string, country string")
+    known = register(spark, {})
+    assert rows(stock.stock_month_end(sited, known, LABELS, sites=sites)) == rows(stock.stock_month_end(placed, known, LABELS))
+    assert rows(stock.stock_flow_sum(sited, known, LABELS, "X", sites=sites)) == rows(stock.stock_flow_sum(placed, known, LABELS, "X"))
