@@ -17,7 +17,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from depotcast.llm.common import fresh
 TRAIN_DOCS = 1000
 #: Letter sequences of each language that it keeps.
 GRAMS = 20_000
-#: Longest letter sequence.
+#: Longest letter sequence; three code points fit a key of 63 bits.
 LETTERS = 3
 #: What a change of language costs.
 SWITCH = 12.0
@@ -39,6 +39,10 @@ SWITCH = 12.0
 WORD_BOUND = 8.0
 #: Words whose scores a worker keeps.
 WORDS_KEPT = 500_000
+#: Words, or parts of long ones, that are scored at a time.
+PARTS_AT_ONCE = 4096
+#: Words that a path is followed over at a time.
+WORDS_AT_ONCE = 4096
 #: Longer words are scored by parts of this many letters.
 LONG_WORD = 64
 
@@ -60,10 +64,14 @@ _TEXT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 _LETTER_RUNS = re.compile(r"[^\W\d_]+")
 
 
+@lru_cache(maxsize=1 << 14)
+def script_of_letter(letter: str) -> str:
+    return SCRIPTS[int(np.searchsorted(_STARTS, ord(letter), "right")) - 1][1]
+
+
 def script_of(word: str) -> str:
     """The script of most of a word's letters; the first of equals."""
-    places = np.searchsorted(_STARTS, [ord(c) for c in word], "right") - 1
-    names = [SCRIPTS[p][1] for p in places]
+    names = [script_of_letter(c) for c in word]
     return max(dict.fromkeys(names), key=names.count)
 
 
@@ -77,6 +85,11 @@ def grams_of(word: str, letters: int = LETTERS) -> list[str]:
     return [marked[i : i + n] for n in range(1, letters + 1) for i in range(len(marked) - n + 1) if n > 1 or 0 < i <= len(word)]
 
 
+def gram_key(gram: str) -> int:
+    """A sequence of up to three letters as one number, 21 bits a letter."""
+    return sum(ord(c) << 21 * i for i, c in enumerate(gram))
+
+
 @dataclass(frozen=True)
 class Model:
     """Log probabilities (base 2) by letter sequence, the languages of each script, and what an
@@ -87,19 +100,54 @@ class Model:
     unseen: tuple[float, ...]
     scripts: dict[str, tuple[bool, ...]]
 
-    def score(self, word: str) -> tuple[float, ...]:
-        """A word's score by language: 0 for the best, not under -WORD_BOUND. A word in a script that
-        no learned language has scores 0 for all, and so is left to its neighbours."""
-        allowed = self.scripts.get(script_of(word[:LONG_WORD]))
+    @cached_property
+    def _rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences' keys, ascending, and the scores: none, unseen, then of each key."""
+        keys = np.array([gram_key(gram) for gram in self.table], np.int64)
+        order = np.argsort(keys)
+        n = len(self.languages)
+        return keys[order], np.vstack(([(0.0,) * n, self.unseen], np.array(list(self.table.values())).reshape(-1, n)[order]))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The words' scores by language: 0 for the best, not under -WORD_BOUND. A word in a script
+        that no learned language has scores 0 for all, and so is left to its neighbours."""
         n = len(self.languages)
-        if allowed is None or n == 1:
-            return (0.0,) * n
-        sums = np.zeros(n)
-        for at in range(0, len(word), LONG_WORD):
-            for gram in grams_of(word[at : at + LONG_WORD]):
-                sums += self.table.get(gram, self.unseen)
-        sums[~np.array(allowed)] = -np.inf
-        return tuple(np.maximum(sums - sums.max(), -WORD_BOUND).tolist())
+        out = np.zeros((len(words), n))
+        if n < 2:
+            return out
+        scripts = [self.scripts.get("latin" if word.isascii() else script_of(word[:LONG_WORD])) for word in words]
+        parts = [
+            (i, f"^{word[at : at + LONG_WORD]}$")
+            for i, word in enumerate(words) if scripts[i] is not None for at in range(0, len(word), LONG_WORD)
+        ]
+        for first in range(0, len(parts), PARTS_AT_ONCE):
+            owners, marked = zip(*parts[first : first + PARTS_AT_ONCE], strict=True)
+            np.add.at(out, list(owners), self._sums(marked))
+        out[~np.array([allowed or (True,) * n for allowed in scripts]).reshape(-1, n)] = -np.inf
+        return np.maximum(out - out.max(axis=1, keepdims=True, initial=-np.inf), -WORD_BOUND)
+
+    def _sums(self, marked: tuple[str, ...]) -> np.ndarray:
+        """The summed scores of the letter sequences of each marked word."""
+        keys, rows = self._rows
+        codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.array([len(x) for x in marked])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # letters up to the word's end
+        inside = left > 1
+        inside[starts] = False
+        places = np.where(inside, self._place(keys, codes), 0)
+        total = rows[places]
+        key = codes
+        for size in range(2, LETTERS + 1):
+            key = key[:-1] | codes[size - 1 :] << 21 * (size - 1)
+            total[: len(key)] += rows[np.where(left[: len(key)] >= size, self._place(keys, key), 0)]
+        return np.add.reduceat(total, starts)
+
+    @staticmethod
+    def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Rows of the scores; 1 for sequences that are not among ``keys``."""
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at + 2, 1) if len(keys) else np.ones(len(wanted), np.int64)
 
 
 def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", per_language: int = TRAIN_DOCS, grams: int = GRAMS) -> Model:
@@ -177,18 +225,24 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     if steady(scores, best, penalty):
         return np.full(n, best)
     value = scores[0].tolist()
-    came = np.empty((n, k), np.int8)
-    for t, row in enumerate(scores.tolist()):
-        if t:
-            top = max(range(k), key=value.__getitem__)
-            jump = value[top] - penalty
-            came[t] = [s if value[s] >= jump else top for s in range(k)]
-            value = [max(v, jump) + x for v, x in zip(value, row, strict=True)]
+    came = np.empty((n, k), np.uint8 if k <= 256 else np.uint32)
+    for first in range(1, n, WORDS_AT_ONCE):
+        rows = scores[first : first + WORDS_AT_ONCE].tolist()
+        before = []
+        for row in rows:
+            before.append(value)
+            jump = max(value) - penalty
+            value = [(v if v >= jump else jump) + x for v, x in zip(value, row, strict=True)]
+        held = np.array(before)
+        stays = held >= held.max(axis=1, keepdims=True) - penalty
+        came[first : first + len(rows)] = np.where(stays, np.arange(k), held.argmax(axis=1)[:, None])
     path = np.empty(n, np.int64)
-    state = max(range(k), key=value.__getitem__)
-    for t in range(n - 1, -1, -1):
+    state = value.index(max(value))
+    origins = memoryview(came.reshape(-1))
+    for t in range(n - 1, 0, -1):
         path[t] = state
-        state = int(came[t, state]) if t else state
+        state = origins[t * k + state]
+    path[0] = state
     return path
 
 
@@ -214,37 +268,47 @@ class Labeller:
         self.clear()
 
     def clear(self) -> None:
-        self.rows: list[tuple[float, ...]] = []
-        self.letters: list[int] = []
-        self.at: dict[bytes, tuple[int, ...]] = {}
-        self.single: dict[bytes, int] = {}
-
-    def _learn(self, piece: bytes) -> None:
-        places = []
-        for word in letter_runs(piece):
-            places.append(len(self.rows))
-            self.rows.append(self.model.score(word))
-            self.letters.append(len(word))
-        self.at[piece] = tuple(places)
-        self.single[piece] = places[0] if len(places) == 1 else -1
+        self.known = 0
+        self.scores = np.zeros((1024, len(self.model.languages)))
+        self.letters = np.zeros(1024)
+        self.at: dict[bytes, int] = {}
+        self.several: dict[bytes, range] = {}
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Score the words of new pieces; ``at`` has the place of a piece's only word, or -1."""
+        words: list[str] = []
+        for piece in pieces:
+            first = self.known + len(words)
+            found = letter_runs(piece)
+            words += found
+            self.at[piece] = first if len(found) == 1 else -1
+            if len(found) != 1:
+                self.several[piece] = range(first, first + len(found))
+        need = self.known + len(words)
+        if need > len(self.letters):
+            more = max(need, 2 * len(self.letters)) - len(self.letters)
+            self.scores = np.pad(self.scores, ((0, more), (0, 0)))
+            self.letters = np.pad(self.letters, (0, more))
+        self.scores[self.known : need] = self.model.scores(words)
+        self.letters[self.known : need] = [len(word) for word in words]
+        self.known = need
 
     def label(self, text: bytes | None):
         """(spans, language, score): spans of (language, first word, words); None without a letter."""
         pieces = text.translate(_TEXT).split() if text else []
-        if len(self.rows) > WORDS_KEPT:
+        if self.known > WORDS_KEPT:
             self.clear()
-        for piece in set(pieces).difference(self.at):
-            self._learn(piece)
+        new = set(pieces).difference(self.at)
+        if new:
+            self._learn(new)
         if not pieces:
             return [], None, 0.0
-        places = np.fromiter(map(self.single.__getitem__, pieces), np.int64, len(pieces))
+        places = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
         if (places < 0).any():  # pieces of no word or of several
-            places = np.array([p for piece in pieces for p in self.at[piece]], np.int64)
+            places = np.array([p for piece, at in zip(pieces, places.tolist(), strict=True) for p in (self.several[piece] if at < 0 else (at,))], np.int64)
         if not len(places) or not self.model.languages:
             return [], None, 0.0
-        used, where = np.unique(places, return_inverse=True)
-        scores = np.array([self.rows[i] for i in used])[where]
-        letters = np.array([self.letters[i] for i in used], np.float64)[where]
+        scores, letters = self.scores[places], self.letters[places]
         path = viterbi(scores, self.penalty)
         k = len(self.model.languages)
         share = np.bincount(path, letters, k)
