@@ -1,0 +1,83 @@
+"""The corpus pipeline against a version by brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import struct
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+from .conftest import ODD, docs_of
+from .test_texts import grouped, leaks, slow_fingerprint, without_repeats
+from .test_tokens import library  # noqa: F401  (a fixture)
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, key string, simhash string, language string, repeats string"
+ITEMS = [(1, "which of these rivers flows through the old town of the north"), (2, None), (3, "why not"), (4, "...")]
+
+
+def corpus() -> list[tuple[int, str | None]]:
+    """Copies, near copies, shared passages, test items, odd texts and repeated rows."""
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"{rng.choice('bcdfghkl')}{rng.choice('aeiou')}{rng.choice('mnrst')}{rng.randint(0, 99)}" for _ in range(n))
+    passage, body = line(60), line(500)
+    texts = [*ODD, body, body, body.upper() + " tail", body + " one more"]
+    texts += [line(rng.randint(20, 200)) for _ in range(15)]
+    texts += [f"{line(40)}\n{passage}  {line(30)}" for _ in range(4)] + [passage, f"{line(30)}, {ITEMS[0][1].upper()}! {line(30)}", f"{line(12)} Why, not? x"]
+    rows = [(100 + 3 * i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows
+
+
+def write(spark, folder, rows, items=ITEMS):
+    table = spark.createDataFrame([(k, t, "en", "hot", len(t) if t else None, "k", "s", "l", "r") for k, t in rows], DOCUMENTS)
+    table.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def by_brute_force(rows, library):
+    rows = [(k, t) for k, t in rows if t and any(c.isalpha() for c in t)]
+    marks = {k: slow_fingerprint(t) & (2**64 - 1) for k, t in rows}
+    links = [(a, b) for a, b in combinations(sorted(marks), 2) if (marks[a] ^ marks[b]).bit_count() <= 3]
+    stay = set(grouped(marks, links).values())
+    rows = [(k, t) for k, t in rows if k in stay]
+    cut = without_repeats(rows, 13)
+    rows = [(k, kept if gone else t) for (k, t), (n, gone, kept) in zip(rows, cut, strict=True) if gone < n or not gone]
+    hits = leaks([t for _, t in rows], ITEMS, 10)
+    rows = [(k, t) for (k, t), (_, hit, _) in zip(rows, hits, strict=True) if not hit]
+    return {k: (t, library.encode_ordinary(t)) for k, t in rows}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, library):
+    rows = corpus()
+    want = by_brute_force(rows, library)
+    got = corpus_pipeline.run(spark, write(spark, tmp_path / "sf", rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
+    for r in got:
+        text, ids = want[r.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert 15 <= len(want) < len(rows)  # something went at all, and the clean documents stayed
+
+
+def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
+    folder = write(spark, tmp_path / "sf", corpus())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), folder).columns == docs.columns
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
+    empty = write(spark, tmp_path / "none", [], [])
+    assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_stages_take_nulls_and_repeated_rows(spark, tmp_path):
+    folder = write(spark, tmp_path / "sf", corpus())
+    docs = docs_of(spark, ODD)
+    docs = docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long"))).union(docs.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() > 0, name
