@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotcast.llm import byte_bpe, chat, decontaminate, embedding_dedup, language_id, license_scan, simhash, substring_dedup, token_counts, token_files
+from depotcast.llm import (
+    byte_bpe, chat, clustering, decontaminate, embedding_dedup, filter_audit, language_id, license_scan, sharding, simhash,
+    substring_dedup, token_counts, token_files,
+)
 from depotcast.llm.common import scratch_folder, stored, table
 
 #: Appended to every document by ``op1_token_files``.
@@ -130,6 +133,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does in every order, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Shards of ``op12_sharding``.
+SHARDS = 40
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of all documents under the law of nearly equal bytes."""
+    dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS, scratch_folder(spark, "slot-map"))
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+    )
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors after five rounds."""
+    return clustering.with_inertia(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2_decontamination,
@@ -141,6 +167,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_sharding": op12_sharding,
+    "op13_clustering": op13_clustering,
 }
 
 #: Words of ``text`` as operators 2 and 10 take them.
@@ -219,8 +248,8 @@ FROM doc LEFT JOIN kept USING (row)
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
-    AND list_sum(list_transform(embedding, x -> CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
-    AND list_sum(list_transform(embedding, x -> abs(x))) > 0
+    AND list_sum([CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END FOR x IN embedding]) = 0
+    AND list_sum([abs(x) FOR x IN embedding]) > 0
 ),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -231,5 +260,78 @@ component AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
 FROM embeddings e JOIN component c ON c.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+""",
+    "op11_filter_audit": r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+least AS (SELECT t, min(doc_id) AS least FROM doc GROUP BY t),
+good AS (SELECT DISTINCT doc_id, 1 AS good FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id, 1 AS toxic FROM labels WHERE toxic = 1),
+cell AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+           CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+           || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+    FROM doc JOIN least USING (t) LEFT JOIN good USING (doc_id) LEFT JOIN toxic USING (doc_id)
+  ) GROUP BY part, fails
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+met AS (
+  SELECT part, filter_order, fails, n, good, toxic,
+         least(CASE WHEN contains(fails, filter_order[1]) THEN 1 ELSE 6 END, CASE WHEN contains(fails, filter_order[2]) THEN 2 ELSE 6 END,
+               CASE WHEN contains(fails, filter_order[3]) THEN 3 ELSE 6 END, CASE WHEN contains(fails, filter_order[4]) THEN 4 ELSE 6 END,
+               CASE WHEN contains(fails, filter_order[5]) THEN 5 ELSE 6 END) AS goes
+  FROM cell, orders
+),
+step AS (
+  SELECT part, filter_order, s AS step, filter_order[s] AS f,
+         coalesce(sum(n) FILTER (goes > s), 0) AS kept, coalesce(sum(n) FILTER (goes = s), 0) AS removed,
+         coalesce(sum(n) FILTER (goes < s AND contains(fails, filter_order[s])), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = filter_order[s]), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (goes = s), 0) AS good_lost, coalesce(sum(toxic) FILTER (goes = s), 0) AS toxic_lost
+  FROM met, range(1, 6) AS r(s) GROUP BY part, filter_order, s
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM step
+""",
+    "op13_clustering": "WITH v AS MATERIALIZED ("
+    "SELECT row_number() OVER () AS row, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x "
+    "FROM embeddings WHERE len(embedding) = 64 "
+    "AND list_sum([CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END FOR x IN embedding]) = 0),\n"
+    "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x "
+    "FROM v WHERE vec_id IS NOT NULL QUALIFY c < 40),\n"
+    + ",\n".join(
+        f"""a{r} AS MATERIALIZED (
+  SELECT row, c, d FROM (
+    SELECT v.row, c.c, list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) FOR i IN range(1, 65)]) AS d FROM v, c{r} c
+  ) QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1
+),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+    FROM (SELECT a.c, i, CAST(sum(v.x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN v USING (row), range(1, 65) AS t(i) GROUP BY a.c, i)
+    GROUP BY c
+  ) m ON m.c = c.c
+)"""
+        for r in range(6)
+    )
+    + """
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM a5 a JOIN v USING (row) JOIN c5 ON c5.c = a.c
 """,
 }
