@@ -32,20 +32,30 @@ from depotcast.runtime import ensure_checkpoint_dir, materialize
 _STEPS_PER_WRITE = 6
 
 
+# rows of a training partition: a tree is many short jobs, each with a task per partition
+_ROWS_A_PART = 100_000
+
+
 @dataclass(frozen=True)
 class Training:
-    """The encoded recent panel and its feature rows, both written once."""
+    """The encoded recent panel, its feature rows and its label dictionary, each written once."""
 
     recent: DataFrame
     features: DataFrame
+    codes: DataFrame
     config: BoostedConfig
 
 
-def prepare(panel: DataFrame, config: BoostedConfig) -> Training:
-    """Recent window, log target, codes and lags of a dense panel."""
-    recent = log_target(recency_window(panel, config.window_months))
-    recent = materialize(encode(recent, category_codes(recent)))
-    return Training(recent, materialize(complete_rows(lag_features(recent, config), config)), config)
+def prepare(panel: DataFrame, config: BoostedConfig, codes: DataFrame | None = None) -> Training:
+    """Recent window, log target, codes and lags of a dense panel.
+
+    With ``codes``, the stored label dictionary of a fitted model, the panel is encoded as that
+    model's rows were, and labels it has not seen are marked.
+    """
+    recent = materialize(log_target(recency_window(panel, config.window_months)))
+    known = materialize(category_codes(recent)) if codes is None else codes
+    encoded = materialize(encode(recent, known, unseen="fail" if codes is None else "mark"))
+    return Training(encoded, materialize(complete_rows(lag_features(encoded, config), config)), known, config)
 
 
 def _cutoff(training: Training) -> Column:
@@ -54,6 +64,17 @@ def _cutoff(training: Training) -> Column:
     return F.trunc(F.add_months(latest, -training.config.holdout_months), "MM")
 
 
+def training_table(training: Training) -> DataFrame:
+    """All feature rows, with the part each belongs to: ``train`` or ``holdout``."""
+    return training.features.withColumn(
+        "split", F.when(F.col("date") < _cutoff(training), "train").otherwise("holdout")
+    )
+
+
+def training_part(training: Training) -> DataFrame:
+    return training.features.filter(F.col("date") < _cutoff(training))
+
+
 def _check_history(training: Training) -> None:
     config = training.config
     span = training.recent.agg(
@@ -75,7 +96,8 @@ def fit(training: Training) -> GBTRegressionModel:
     _check_history(training)
     config = training.config
     ensure_checkpoint_dir(training.features.sparkSession)
-    rows = training.features.filter(F.col("date") < _cutoff(training))
+    rows = training_part(training)
+    parts = -(-rows.count() // _ROWS_A_PART)
     regressor = GBTRegressor(
         featuresCol="features",
         labelCol="label",
@@ -86,15 +108,29 @@ def fit(training: Training) -> GBTRegressionModel:
         minInstancesPerNode=config.min_leaf,
         seed=config.seed,
     )
-    return regressor.fit(_assembler(config).transform(rows).select("features", "label"))
+    # sorted, so that the same rows give the same trees whatever wrote them
+    dealt = rows.repartitionByRange(max(1, parts), *SERIES, "date").sortWithinPartitions(*SERIES, "date")
+    return regressor.fit(_assembler(config).transform(dealt).select("features", "label"))
 
 
-def holdout_errors(model: GBTRegressionModel, training: Training) -> DataFrame:
-    """Per series: mean absolute error, in units, of one-step forecasts from the cut-off month on."""
+def holdout_predictions(model: GBTRegressionModel, training: Training) -> DataFrame:
+    """One-step forecasts from the cut-off month on, in units, beside what happened."""
     rows = training.features.filter(F.col("date") >= _cutoff(training))
     scored = model.transform(_assembler(training.config).transform(rows))
-    error = F.abs(F.expm1("label") - F.expm1("prediction"))
-    return scored.groupBy(*SERIES).agg(F.avg(error).alias("mae"), F.count(F.lit(1)).alias("months"))
+    return scored.select(
+        *SERIES, "date", F.expm1("label").alias("actual"), F.expm1("prediction").alias("predicted")
+    )
+
+
+def series_errors(predictions: DataFrame) -> DataFrame:
+    """Per series: mean absolute error in units and the number of months it is over."""
+    error = F.abs(F.col("actual") - F.col("predicted"))
+    return predictions.groupBy(*SERIES).agg(F.avg(error).alias("mae"), F.count(F.lit(1)).alias("months"))
+
+
+def holdout_errors(model: GBTRegressionModel, training: Training) -> DataFrame:
+    """Per series: mean absolute error, in units, of one-step forecasts from the cut-off month on."""
+    return series_errors(holdout_predictions(model, training))
 
 
 def overall_error(series_errors: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ OPERATIONAL_COVARIATES = (
 )
 COVARIATES = (*OPERATIONAL_COVARIATES, "month_number")
 MISSING_LABEL = "nan"
+# the code of a label that the dictionary does not have
+UNSEEN = -1
 
 
 def log_target(panel: DataFrame) -> DataFrame:
@@ -28,10 +30,11 @@ def log_target(panel: DataFrame) -> DataFrame:
 
 
 def category_codes(df: DataFrame, columns: Sequence[str] = ENCODED_COLUMNS) -> DataFrame:
-    """(column, label, code): codes 0.. in the order of the distinct labels of each column.
+    """The label dictionary of ``df``: (column, label, code), codes 0.. in the order of the labels.
 
     NULL is a label of its own. All columns are ranked in one global pass and each
-    code is the distance to the first label of its column.
+    code is the distance to the first label of its column. Stored, the dictionary encodes
+    and decodes later data as well.
     """
     labels = (
         df.select([F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL)).alias(c) for c in columns])
@@ -45,27 +48,39 @@ def category_codes(df: DataFrame, columns: Sequence[str] = ENCODED_COLUMNS) -> D
     )
 
 
-def encode(df: DataFrame, codes: DataFrame, columns: Sequence[str] = ENCODED_COLUMNS) -> DataFrame:
-    """Add ``<column>_code`` for every encoded column.
+def encode(
+    df: DataFrame, codes: DataFrame, columns: Sequence[str] = ENCODED_COLUMNS, unseen: str = "fail"
+) -> DataFrame:
+    """Add ``<column>_code`` for every encoded column, from a label dictionary.
 
-    The labels are looked up on the distinct combinations, one per branch and
-    product, and ``df`` is joined once by the whole combination: a join by a
-    single label such as the product would put a third of the rows on one key.
+    A label that the dictionary lacks fails the query with its name, or has the code
+    ``UNSEEN`` if ``unseen`` is "mark". The labels are looked up on the distinct
+    combinations, one per branch and product, and ``df`` is joined once by the whole
+    combination: a join by a single label such as the product would put a third of the
+    rows on one key.
     """
+    if unseen not in ("fail", "mark"):
+        raise ValueError(f"unseen labels either fail or are marked: {unseen}")
     combinations = df.select(*columns).distinct()
     for c in columns:
         own = codes.filter(F.col("column") == c).select(
-            F.col("label").alias("_label"), F.col("code").alias(f"{c}_code")
+            F.col("label").alias("_label"), F.col("code").alias("_code")
         )
         label = F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL))
-        combinations = combinations.join(own, label == F.col("_label"), "left").drop("_label")
+        missing = F.lit(UNSEEN).cast("long")
+        if unseen == "fail":
+            missing = F.raise_error(F.concat(F.lit(f"no code for the {c} "), label)).cast("long")
+        combinations = (
+            combinations.join(own, label == F.col("_label"), "left")
+            .withColumn(f"{c}_code", F.coalesce("_code", missing)).drop("_label", "_code")
+        )
     looked_up = combinations.withColumnsRenamed({c: f"_{c}" for c in columns})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
     return df.join(looked_up, same, "left").drop(*[f"_{c}" for c in columns])
 
 
 def decode(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
-    """Replace ``<column>_code`` by its label."""
+    """Replace ``<column>_code`` by its label; ``UNSEEN`` and other unknown codes have none (NULL)."""
     own = codes.filter(F.col("column") == column).select(
         F.col("label").alias(column), F.col("code").alias(f"{column}_code")
     )
@@ -111,21 +126,12 @@ def lag_features(encoded: DataFrame, config: BoostedConfig) -> DataFrame:
 def complete_rows(features: DataFrame, config: BoostedConfig) -> DataFrame:
     """Rows whose lags reach back far enough.
 
-    A NULL population becomes 0 and is marked in ``population_missing``; a NULL category code
-    fails the query.
+    A NULL population becomes 0 and is marked in ``population_missing``.
     """
     known = features.filter(F.col(f"value_lag_{config.target_lags}").isNotNull()).withColumn(
         "population_missing", F.col("population_lag_1").isNull().cast("double")
     )
-    codes = {
-        f"{c}_code": F.coalesce(
-            f"{c}_code", F.raise_error(F.lit(f"a row has no code for its {c}")).cast("long")
-        )
-        for c in ENCODED_COLUMNS
-    }
-    return known.withColumns(codes).na.fill(
-        0, [f"population_lag_{k}" for k in range(1, config.covariate_lags + 1)]
-    )
+    return known.na.fill(0, [f"population_lag_{k}" for k in range(1, config.covariate_lags + 1)])
 
 
 def future_covariates(panel: DataFrame, horizon: int = 12) -> DataFrame:

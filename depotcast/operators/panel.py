@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotcast.contracts import OPERATIONAL_COLUMNS, SALES_COLUMNS, STATIC_COLUMNS, require
-from depotcast.functions.dates import month_ends
+from depotcast.functions.dates import month_ends, next_month
 from depotcast.operators.rollups import to_products
 
 # days of operation below which a branch belongs to the class
@@ -49,6 +50,9 @@ def densify(
     statics: Sequence[str] = STATIC_COLUMNS,
     operational: Sequence[str] = OPERATIONAL_COLUMNS,
     strict_static: bool = False,
+    branches: DataFrame | None = None,
+    months: tuple[date, date] | None = None,
+    products: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every month from first to last for every branch and product, gaps filled with 0.
 
@@ -56,23 +60,39 @@ def densify(
     ``strict_static`` a row counts only if its attributes are still those of the
     latest month; the default keeps it. Reads ``long`` several times: pass a
     written or materialised table.
+
+    A ``long`` that holds the latest months only lacks branches without a row in them:
+    ``branches`` has all of them with their attributes, which count where ``long`` has none.
+    ``months`` are then the panel's first and last month, ``products`` all its products.
     """
     statics = _renamed(statics)
     series = ["branch", "product"]
     require(long, ["date", *series, *statics, *operational, "value"], "panel")
-    span = long.agg(month_ends(F.min("date"), F.max("date"))).scalar()
+    if months is None:
+        span = long.agg(month_ends(F.min("date"), F.max("date"))).scalar()
+    else:
+        span = month_ends(F.lit(months[0]), F.lit(months[1]))
     # one entry per product class, a handful whatever the number of rows
-    products = long.agg(F.array_sort(F.collect_set("product"))).scalar()
+    classes = (
+        long.agg(F.array_sort(F.collect_set("product"))).scalar() if products is None
+        else F.array(*[F.lit(p) for p in sorted(products)])
+    )
+    listed = long.select("branch") if branches is None else long.select("branch").union(branches.select("branch"))
     skeleton = (
-        long.select("branch").distinct()
-        .select("branch", F.explode(products).alias("product"))
+        listed.distinct()
+        .select("branch", F.explode(classes).alias("product"))
         .select("*", F.explode(span).alias("date"))
     )
-    latest = (
-        long.groupBy(*series)
-        .agg(F.max_by(F.struct(*statics), "date").alias("latest"))
-        .select(*series, "latest.*")
-    )
+    latest = long.groupBy(*series).agg(F.max_by(F.struct(*statics), "date").alias("latest"))
+    if branches is not None:
+        require(branches, ["branch", *statics], "branches")
+        given = branches.select("branch", F.struct(*statics).alias("given"))
+        pairs = skeleton.select(*series).distinct()
+        latest = (
+            pairs.join(latest, series, "left").join(given, "branch", "left")
+            .select(*series, F.coalesce("latest", "given").alias("latest"))
+        )
+    latest = latest.select(*series, "latest.*")
     facts = long.select("date", *series, *statics, *operational, "value")
     keys = ["date", *series]
     template = skeleton.join(latest, series, "left")
@@ -114,3 +134,10 @@ def recency_window(panel: DataFrame, months: int = 24) -> DataFrame:
     """Rows not older than ``months`` before the latest date, both ends included."""
     oldest = panel.agg(F.add_months(F.max("date"), -months)).scalar()
     return panel.filter(F.col("date") >= oldest)
+
+
+def window_start(first: date, last: date, months: int = 24) -> date:
+    """First month-end of the recency window of a panel that runs from ``first`` to ``last``."""
+    count = last.year * 12 + last.month - 1 - months
+    opening = date(count // 12, count % 12 + 1, 1)
+    return max(first, next_month(opening) - timedelta(days=1))

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from depotcast.config import StockLabels
 from depotcast.contracts import STOCK_SNAPSHOT, placed_by, require
 from depotcast.functions.dates import (
-    closes_between,
+    between_days,
     closing_month_end,
+    in_partitions,
     is_month_opening,
     month_ends,
-    month_of,
+    next_month,
     on_days,
     openings_between,
 )
@@ -26,6 +27,12 @@ from depotcast.runtime import materialize
 _KEYS = ("branch", "country", "third_party")
 
 
+def check_inputs(snapshots: DataFrame, register: DataFrame, sites: DataFrame | None = None) -> None:
+    """Fail with the names of missing columns before anything is read."""
+    require(snapshots, placed_by(STOCK_SNAPSHOT, sites), "stock snapshots")
+    require(register, _KEYS, "branch register")
+
+
 def stock_flow_sum(
     snapshots: DataFrame,
     register: DataFrame,
@@ -43,11 +50,11 @@ def stock_flow_sum(
     ``last`` limit the result to those months, on the raw column, so that other
     months are not read.
     """
-    require(snapshots, placed_by(STOCK_SNAPSHOT, sites), "stock snapshots")
-    require(register, _KEYS, "branch register")
+    check_inputs(snapshots, register, sites)
     measures = measures_named(labels, FLOW_MEASURES)
     if first is not None and last is not None:
-        snapshots = snapshots.filter(closes_between(F.col("snapshot_ts"), first, last))
+        # the snapshot that closes the last month is of the first day of the next one
+        snapshots = between_days(snapshots, "snapshot_ts", first.replace(day=2), next_month(last).replace(day=2))
     if sites is None:
         snapshots = snapshots.filter(F.col("country") == country)
     else:
@@ -80,6 +87,47 @@ def _latest_day(snapshots: DataFrame, span: tuple[date, date] | None) -> Column:
     return snapshots.agg(F.max("snapshot_ts").cast("date")).scalar()
 
 
+Months = tuple[date, date]
+
+
+def _labelled_openings(
+    snapshots: DataFrame, include_latest: bool, span: tuple[date, date] | None, months: Months | None
+) -> tuple[DataFrame, Column]:
+    """The snapshots that open a month, and the latest ones if wanted, and their month-end.
+
+    With a ``span`` the days to keep are known beforehand. A condition of its own names them as
+    ranges of the raw column, which is what reaches the file scan (and the list of partitions, where
+    the table has any); rows outside the span pass it, so that they can be reported.
+    """
+    moment = F.col("snapshot_ts")
+    keep, label = is_month_opening(moment), F.date_sub(moment.cast("date"), 1)
+    if include_latest:
+        newest = _latest_day(snapshots, span)
+        # nothing is later than the latest day
+        is_newest = moment >= newest.cast("timestamp_ntz")
+        keep = keep | is_newest
+        label = F.when(is_newest, F.last_day(newest)).otherwise(label)
+    if months is not None:
+        first, last = months[0].replace(day=1), next_month(months[1])
+        # a month is closed by the snapshot of the next month's first day, or by the latest one
+        snapshots = between_days(snapshots, "snapshot_ts", first, last.replace(day=2))
+        keep = keep & label.between(F.last_day(F.lit(first)), F.last_day(F.lit(months[1])))
+    if span is None:
+        return snapshots.filter(keep), label
+    closed = [(x, x - timedelta(days=1)) for x in openings_between(*span)]
+    closed += [(span[1], span[1])] if include_latest else []
+    if months is None:
+        outside = (moment < F.lit(span[0])) | (moment >= F.lit(span[1] + timedelta(days=1)))
+        days = [day for day, _ in closed]
+        elsewhere = on_days("snapshot_ts", days) if days else F.lit(False)
+        stale = F.raise_error(F.lit(f"a snapshot lies outside {span[0]} to {span[1]}")).cast("date")
+        label = F.when(outside, stale).otherwise(label)
+        return in_partitions(snapshots, days, span).filter(outside | elsewhere).filter(outside | keep), label
+    days = [day for day, month in closed if first <= month < last]
+    elsewhere = on_days("snapshot_ts", days) if days else F.lit(False)
+    return in_partitions(snapshots, days).filter(elsewhere).filter(keep), label
+
+
 def stock_month_end(
     snapshots: DataFrame,
     register: DataFrame,
@@ -89,6 +137,7 @@ def stock_month_end(
     span: tuple[date, date] | None = None,
     sites: DataFrame | None = None,
     month: date | None = None,
+    months: Months | None = None,
 ) -> DataFrame:
     """Month-end stock: the snapshots that open a month, and the latest one if wanted.
 
@@ -99,38 +148,18 @@ def stock_month_end(
     spelled out as ranges that reach the file scan, so that a table sorted or
     partitioned by time is read for those days only; the query fails if a snapshot
     lies outside it. ``sites`` gives the branch of each site if the snapshots name sites.
-    ``month`` limits the result to the month of that day, and the scan to its days.
+    ``month`` limits the result to the month of that day, ``months`` to those from one day's to
+    another's, and the scan to their days.
     """
     require(snapshots, placed_by(STOCK_SNAPSHOT, sites), "stock snapshots")
     require(register, ("branch", "country"), "branch register")
-    moment = F.col("snapshot_ts")
-    keep, label = is_month_opening(moment), F.date_sub(moment.cast("date"), 1)
-    if include_latest:
-        newest = _latest_day(snapshots, span)
-        # nothing is later than the latest day
-        is_newest = moment >= newest.cast("timestamp_ntz")
-        keep = keep | is_newest
-        label = F.when(is_newest, F.last_day(newest)).otherwise(label)
-    if span is not None:
-        # the same days again, in a form the scan can use to skip row groups
-        days = openings_between(*span) + ([span[1]] if include_latest else [])
-        outside = (moment < F.lit(span[0])) | (moment >= F.lit(span[1] + timedelta(days=1)))
-        if month is not None:
-            # the day that opens the next month, and the latest one if it is in this month
-            days = [x for x in days if month_of(x - timedelta(days=1)) == month_of(month)] + (
-                [span[1]] if include_latest and month_of(span[1]) == month_of(month) else []
-            )
-        elsewhere = on_days("snapshot_ts", days) if days else F.lit(False)
-        keep = keep & elsewhere if month is not None else outside | keep & elsewhere
-        stale = F.raise_error(F.lit(f"a snapshot lies outside {span[0]} to {span[1]}")).cast("date")
-        label = F.when(outside, stale).otherwise(label)
+    if month is not None:
+        months = (month, month)
+    kept, label = _labelled_openings(snapshots, include_latest, span, months)
     wanted = stock_measures(labels) if measures is None else measures_named(labels, measures)
     names = [m.name for m in wanted]
-    if month is not None:
-        keep = keep & (label == F.last_day(F.lit(month)))
     monthly = to_branches(
-        snapshots.filter(keep)
-        .groupBy(label.alias("month_end"), place_column(sites)).agg(*[m.total() for m in wanted]),
+        kept.groupBy(label.alias("month_end"), place_column(sites)).agg(*[m.total() for m in wanted]),
         sites, ["month_end"], names,
     )
     known = register.select(F.col("branch").alias("known_branch"), "country")
@@ -142,6 +171,28 @@ def stock_month_end(
     )
 
 
+def branch_months(
+    snapshots: DataFrame,
+    register: DataFrame,
+    include_latest: bool = True,
+    span: tuple[date, date] | None = None,
+    sites: DataFrame | None = None,
+) -> DataFrame:
+    """First and last month of every registered branch in the month-end stock.
+
+    Reads the moment and the place of the days that ``stock_month_end`` keeps and no measure, so it
+    tells which branches and months there are before any month is worked out.
+    """
+    require(snapshots, ["snapshot_ts", place_column(sites)], "stock snapshots")
+    kept, label = _labelled_openings(snapshots, include_latest, span, None)
+    place = place_column(sites)
+    spans = kept.groupBy(place).agg(F.min(label).alias("first_month"), F.max(label).alias("last_month"))
+    if sites is not None:
+        spans = spans.join(sites.select("site", "branch"), "site", "left")
+    spans = spans.groupBy("branch").agg(F.min("first_month").alias("first_month"), F.max("last_month").alias("last_month"))
+    return spans.join(register.select("branch"), "branch")
+
+
 def _sale_total(labels: StockLabels) -> Column:
     return F.expr(f"sum(CASE WHEN status_type = {quoted(labels.sale)} THEN qty ELSE 0 END)")
 

@@ -386,6 +386,19 @@ _LAGS = ",\n       ".join(
     + [f"CAST(dense_rank() OVER (ORDER BY {_code(c)}) - 1 AS BIGINT) AS {c}_code" for c in ENCODED_COLUMNS]
 )
 
+_LAG_ROWS = f"""
+SELECT branch, product, date, value, round(ln(1 + value), 6) AS label,
+       {_LAGS}
+FROM (SELECT *, month(date) AS month_number FROM recent)
+WINDOW w AS (PARTITION BY branch, product ORDER BY date)"""
+_POPULATION_LAGS = [f"population_lag_{k}" for k in range(1, MODEL.covariate_lags + 1)]
+_TRAINING_ROWS = f"""
+SELECT * REPLACE ({", ".join(f"coalesce({c}, 0) AS {c}" for c in _POPULATION_LAGS)}),
+       CASE WHEN population_lag_1 IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS population_missing,
+       CASE WHEN date < (SELECT date_trunc('month', max(date) - INTERVAL {MODEL.holdout_months} MONTH) FROM recent)
+            THEN 'train' ELSE 'holdout' END AS split
+FROM ({_LAG_ROWS}) WHERE value_lag_{MODEL.target_lags} IS NOT NULL"""
+
 _COVARIATE_LIST = "operational_total, maintenance_total, ready_total, mech_total, mech_present, population"
 _FUTURE = f"""
 last_row AS (
@@ -457,16 +470,19 @@ def _profile_column(table: str, ordinal: int, name: str, kind: str) -> str:
         if kind.startswith("array"):
             return "CAST(NULL AS VARCHAR)"
         if kind == "double":
-            return "CAST(NULL AS VARCHAR)"
+            return f"CAST(CAST({value} AS DECIMAL(38, 6)) AS VARCHAR)"
         if kind == "timestamp_ntz":
             return f"strftime({value}, '%Y-%m-%d %H:%M:%S')"
         return f"CAST({value} AS VARCHAR)"
 
+    longest = f"CAST(max(length({text(name)})) AS BIGINT)"
+    if kind == "double":
+        longest = f"CAST(greatest(length({text(f'min({name})')}), length({text(f'max({name})')})) AS BIGINT)"
     return (
         f"SELECT '{table}' AS table_name, CAST({ordinal} AS BIGINT) AS ordinal, '{name}' AS column_name, "
         f"'{kind}' AS data_type, count(*) - count({name}) AS null_count, "
         f"count(DISTINCT {name}) AS distinct_count, {text(f'min({name})')} AS min_value, "
-        f"{text(f'max({name})')} AS max_value, CAST(max(length({text(name)})) AS BIGINT) AS max_text_length, "
+        f"{text(f'max({name})')} AS max_value, {longest} AS max_text_length, "
         + ", ".join(
             (f"{f}({name})" if kind == "double" else "CAST(NULL AS DOUBLE)") + f" AS {f}_number" for f in ("min", "max")
         )
@@ -664,14 +680,12 @@ SELECT date, branch, product, value, round(ln(1 + value), 6) AS value_log,
        round(greatest(exp(ln(1 + value)) - 1, 0), 2) AS restored FROM panel""",
     ),
     "category_codes": _with(*_PANEL_CTES, RECENT, query=_CODES),
-    "lag_features": _with(
+    "category_roundtrip": _with(
         *_PANEL_CTES, RECENT,
-        query=f"""
-SELECT branch, product, date, value, round(ln(1 + value), 6) AS label,
-       {_LAGS}
-FROM (SELECT *, month(date) AS month_number FROM recent)
-WINDOW w AS (PARTITION BY branch, product ORDER BY date)""",
+        query=f"SELECT date, {', '.join(f'{_code(c)} AS {c}' for c in ENCODED_COLUMNS)} FROM recent",
     ),
+    "lag_features": _with(*_PANEL_CTES, RECENT, query=_LAG_ROWS),
+    "training_rows": _with(*_PANEL_CTES, RECENT, query=_TRAINING_ROWS),
     "future_covariates": _with(
         *_PANEL_CTES, _FUTURE,
         query=f"SELECT {_rounded(('mech_total', 'mech_present'))}, CAST(month(date) AS BIGINT) AS month_number "
@@ -703,3 +717,5 @@ WINDOW w AS (PARTITION BY branch, product ORDER BY date)""",
     ),
     "column_profile": _profile(),
 }
+# the same results, read from a copy partitioned by month
+ORACLE |= {f"{name}_partitioned": ORACLE[name] for name in ("stock_month_end", "ops_list")}

@@ -15,12 +15,16 @@ from depotcast.contracts import (
     SALES_COLUMNS,
     STATIC_COLUMNS,
 )
-from depotcast.functions.dates import in_month_of
+from depotcast.functions.dates import between_days, next_month
 from depotcast.functions.numbers import from_log
 from depotcast.operators import boosted, ensemble, features, flows, panel, profiles, reports
 from depotcast.operators import restrictions as restriction_ops
 from depotcast.operators import rollups, scenarios, segments, stock, wide, workshop
-from depotcast.runtime import materialize
+from depotcast.plans.facts import monthly_copy, recorded_span
+from depotcast.plans.model_store import ModelStore, SavedModel
+from depotcast.plans.planning import Inputs, Rules
+from depotcast.plans.planning import recent_panel as planned_recent_panel
+from depotcast.runtime import materialize, shared_folder
 from depotcast.sources import supplied as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +37,7 @@ OPS_REQUEST = (
     "not_collected_yet",
 )
 PROFILED = src.TABLES
+RULES = Rules(src.LABELS, src.RULES, src.HOME, src.SINCE, src.INTERNAL_JOB)
 
 
 # --- inputs shared by several queries -------------------------------------------------
@@ -42,11 +47,26 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return segments.branch_segments(src.branch_register(spark, d), src.RULES)
 
 
-def _stock_month_end(spark: SparkSession, d: str, measures=None, month: date | None = None) -> DataFrame:
+def _span(spark: SparkSession, d: str) -> tuple[date, date] | None:
+    # scanned for the first query over these files, read from the record by the others
+    return recorded_span(src.load(spark, d, "lineitem").select("l_shipdate"), "l_shipdate")
+
+
+def _inputs(spark: SparkSession, d: str, months: tuple[date, date] | None = None) -> Inputs:
+    inputs = Inputs(
+        src.stock_snapshots(spark, d), src.branch_register(spark, d), src.movements(spark, d),
+        src.current_units(spark, d), src.maintenance(spark, d), src.daily_indicators(spark, d, months),
+        src.sales(spark, d), src.suppliers(spark, d), src.customers(spark, d),
+    )
+    return inputs if months is None else inputs.within(months)
+
+
+def _stock_month_end(
+    spark: SparkSession, d: str, measures=None, month: date | None = None, lineitem: DataFrame | None = None
+) -> DataFrame:
     return stock.stock_month_end(
-        src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS,
-        measures=measures, span=src.snapshot_span(spark, d), sites=src.suppliers(spark, d),
-        month=month,
+        src.stock_snapshots(spark, d, lineitem), src.branch_register(spark, d), src.LABELS,
+        measures=measures, span=_span(spark, d), sites=src.suppliers(spark, d), month=month,
     )
 
 
@@ -123,6 +143,24 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
     return panel.densify(panel.panel_long(materialize(_clean(spark, d))))
 
 
+def _recent_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The recency window of the panel, from the facts of its months."""
+    return planned_recent_panel(
+        _inputs(spark, d), RULES, MODEL.window_months, _span(spark, d), within=lambda months: _inputs(spark, d, months)
+    )
+
+
+def _by_month(spark: SparkSession, d: str) -> DataFrame:
+    """The shipped lines partitioned by month, written once for a set of files."""
+    return monthly_copy(src.load(spark, d, "lineitem"), "l_shipdate", "lineitem")
+
+
+def _model(spark: SparkSession, d: str) -> tuple[boosted.Training, SavedModel]:
+    """The training rows and their model, fitted by whichever query asks first."""
+    training = boosted.prepare(_recent_panel(spark, d), MODEL)
+    return training, ModelStore(spark, shared_folder(spark, "models")).trained(training)
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -145,7 +183,7 @@ def stock_month_end(spark: SparkSession, d: str) -> DataFrame:
 def stock_month_start_only(spark: SparkSession, d: str) -> DataFrame:
     return stock.stock_month_end(
         src.stock_snapshots(spark, d), src.branch_register(spark, d), src.LABELS,
-        include_latest=False, span=src.snapshot_span(spark, d), sites=src.suppliers(spark, d),
+        include_latest=False, span=_span(spark, d), sites=src.suppliers(spark, d),
     )
 
 
@@ -203,7 +241,7 @@ def branch_month_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def company_closed_months(spark: SparkSession, d: str) -> DataFrame:
     return stock.company_closed_months(
-        src.stock_snapshots(spark, d), src.LABELS, span=src.snapshot_span(spark, d)
+        src.stock_snapshots(spark, d), src.LABELS, span=_span(spark, d)
     )
 
 
@@ -353,20 +391,32 @@ def cross_tab_country(spark: SparkSession, d: str) -> DataFrame:
     return reports.cross_tab(_branch_product_long(spark, d), "country", fill=True)
 
 
-def ops_list(spark: SparkSession, d: str) -> DataFrame:
+def _ops_list(spark: SparkSession, d: str, lineitem: DataFrame | None = None) -> DataFrame:
     measures = ["rented_total", "operational_total", "maintenance_total", "ready_total"]
     month = date(OPS_YEAR, OPS_MONTH, 1)
     # one month is wanted: its days are put to each fact table, not to the labels derived from them
     jobs = workshop.workshop_agg_then_join(
-        src.maintenance(spark, d).filter(in_month_of("finished_ts", month)),
-        src.daily_indicators(spark, d, month), src.SINCE, src.INTERNAL_JOB, sites=src.suppliers(spark, d),
+        between_days(src.maintenance(spark, d, lineitem), "finished_ts", month, next_month(month)),
+        src.daily_indicators(spark, d, (month, month)), src.SINCE, src.INTERNAL_JOB, sites=src.suppliers(spark, d),
     )
-    listed = _stock_month_end(spark, d, measures, month).join(jobs, ["month_end", "branch"], "left")
+    listed = _stock_month_end(spark, d, measures, month, lineitem).join(jobs, ["month_end", "branch"], "left")
     return reports.ops_list(
         listed, OPS_YEAR, OPS_MONTH, OPS_REQUEST, "maint_internal", ratios=True
     )
 
 
+def ops_list(spark: SparkSession, d: str) -> DataFrame:
+    return _ops_list(spark, d)
+
+
+def ops_list_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    return _ops_list(spark, d, _by_month(spark, d))
+
+
+def stock_month_end_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    return _stock_month_end(spark, d, lineitem=_by_month(spark, d))
+
+
 def clean_wide(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_clean(spark, d), 6, "mech_total", "mech_present")
 
@@ -384,7 +434,7 @@ def branch_maturity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recency_window(spark: SparkSession, d: str) -> DataFrame:
-    kept = panel.recency_window(_panel(spark, d), MODEL.window_months)
+    kept = panel.recency_window(_recent_panel(spark, d), MODEL.window_months)
     return kept.select("date", "branch", "product", "value")
 
 
@@ -397,16 +447,33 @@ def log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_codes(spark: SparkSession, d: str) -> DataFrame:
-    return features.category_codes(panel.recency_window(_panel(spark, d), MODEL.window_months))
+    return features.category_codes(materialize(_recent_panel(spark, d)))
+
+
+def category_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every label encoded and decoded again from the stored dictionary."""
+    recent = materialize(_recent_panel(spark, d))
+    codes = materialize(features.category_codes(recent))
+    restored = features.encode(recent.select("date", *features.ENCODED_COLUMNS), codes)
+    for column in features.ENCODED_COLUMNS:
+        restored = features.decode(restored, codes, column)
+    return restored.select("date", *features.ENCODED_COLUMNS)
+
+
+def _whole_doubles_rounded(df: DataFrame) -> DataFrame:
+    return _rounded(df, 6, *[c for c, kind in df.dtypes if kind == "double"])
 
 
 def lag_features(spark: SparkSession, d: str) -> DataFrame:
-    recent = features.log_target(panel.recency_window(_panel(spark, d), MODEL.window_months))
-    recent = materialize(recent)
-    encoded = features.encode(recent, features.category_codes(recent))
-    lagged = features.lag_features(encoded, MODEL)
-    doubles = [c for c, kind in lagged.dtypes if kind == "double"]
-    return _rounded(lagged, 6, *doubles)
+    recent = materialize(features.log_target(_recent_panel(spark, d)))
+    encoded = features.encode(recent, materialize(features.category_codes(recent)))
+    return _whole_doubles_rounded(features.lag_features(encoded, MODEL))
+
+
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the model is trained and tested on: features, target and the part of each row."""
+    training = boosted.prepare(_recent_panel(spark, d), MODEL)
+    return _whole_doubles_rounded(boosted.training_table(training))
 
 
 def future_covariates(spark: SparkSession, d: str) -> DataFrame:
@@ -417,14 +484,13 @@ def future_covariates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gbt_holdout_mae(spark: SparkSession, d: str) -> DataFrame:
-    training = boosted.prepare(_panel(spark, d), MODEL)
-    errors = boosted.holdout_errors(boosted.fit(training), training)
-    return boosted.overall_error(errors)
+    training, model = _model(spark, d)
+    return boosted.overall_error(boosted.holdout_errors(model.trees, training))
 
 
 def gbt_forecast_12m(spark: SparkSession, d: str) -> DataFrame:
-    training = boosted.prepare(_panel(spark, d), MODEL)
-    return boosted.recursive_forecast(boosted.fit(training), training)
+    training, model = _model(spark, d)
+    return boosted.recursive_forecast(model.trees, training)
 
 
 def _ensemble(spark: SparkSession, d: str) -> DataFrame:
@@ -477,11 +543,14 @@ def scenario_branches(spark: SparkSession, d: str) -> DataFrame:
 
 def column_profile(spark: SparkSession, d: str) -> DataFrame:
     found = profiles.column_profile({t: src.load(spark, d, t) for t in PROFILED}, exact=True)
-    # the text of a floating-point number differs between engines, its value does not
+    # the text of a floating-point number differs between engines; with six decimals it does not
     floating = F.col("data_type").isin("double", "float")
-    return found.withColumns(
-        {c: F.when(~floating, F.col(c)) for c in ("min_value", "max_value", "max_text_length")}
-    )
+    shown = found.withColumns({
+        f"{f}_value": F.when(floating, F.col(f"{f}_number").cast("decimal(38,6)").cast("string")).otherwise(F.col(f"{f}_value"))
+        for f in ("min", "max")
+    })
+    longest = F.greatest(F.length("min_value"), F.length("max_value")).cast("long")
+    return shown.withColumn("max_text_length", F.when(floating, longest).otherwise(F.col("max_text_length")))
 
 
 QUERIES: dict[str, Query] = {
@@ -496,9 +565,10 @@ QUERIES: dict[str, Query] = {
         totals_by_product, totals_by_country, totals_by_region, totals_by_rank,
         totals_by_urban_tier, grand_total, top_branches, top_states, share_by_product,
         share_by_country, share_by_rank, share_by_urban_tier, per_capita, population_by_country,
-        cross_tab_branch, cross_tab_country, ops_list, clean_wide, panel_long, panel_dense,
-        branch_maturity, recency_window, log_roundtrip, category_codes, lag_features,
-        future_covariates, gbt_holdout_mae, gbt_forecast_12m, ensemble_forecast,
+        cross_tab_branch, cross_tab_country, ops_list, ops_list_partitioned,
+        stock_month_end_partitioned, clean_wide, panel_long, panel_dense,
+        branch_maturity, recency_window, log_roundtrip, category_codes, category_roundtrip, lag_features,
+        training_rows, future_covariates, gbt_holdout_mae, gbt_forecast_12m, ensemble_forecast,
         ensemble_calendar, ensemble_summary, ensemble_summary_table, actual_vs_forecast,
         scenario_branches, column_profile,
     )

@@ -30,3 +30,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A folder below the one that the cluster shares, the same for every call with one purpose."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        ensure_checkpoint_dir(spark)
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/depotcast-{purpose}"

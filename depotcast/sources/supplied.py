@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotcast.config import EnsembleConfig, SegmentRules, StockLabels
-from depotcast.functions.dates import in_month_of
-from depotcast.operators import stock
+from depotcast.functions.dates import MONTH_PARTITION, between_days, next_month
 
 # fixed values: the columns of the supplied tables and their types
 SCHEMAS = {
@@ -99,7 +98,13 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "customer").select(F.col("c_custkey").alias("site"), _branch("c_nationkey"))
 
 
-def stock_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+def _partition(facts: DataFrame) -> list[str]:
+    return [MONTH_PARTITION] if MONTH_PARTITION in facts.columns else []
+
+
+def stock_snapshots(spark: SparkSession, folder: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Shipped lines as stock snapshots; ``lineitem`` may be a copy of the table partitioned by month."""
+    facts = load(spark, folder, "lineitem") if lineitem is None else lineitem
     parts = load(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"),
         F.col("p_brand").alias("status_desc"),
@@ -109,23 +114,15 @@ def stock_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     )
     status = F.concat(F.lit("T"), F.round(F.col("l_tax") * 100).cast("int").cast("string"))
     return (
-        load(spark, folder, "lineitem")
-        .join(parts, "l_partkey", "left")
+        facts.join(parts, "l_partkey", "left")
         .select(
             F.col("l_shipdate").alias("snapshot_ts"), F.col("l_suppkey").alias("site"), status.alias("status_type"),
             "status_desc", F.col("l_linestatus").alias("operational_flag"), "product_rented",
-            "product_class", F.col("l_quantity").cast("long").alias("qty"),
+            "product_class", F.col("l_quantity").cast("long").alias("qty"), *_partition(facts),
         )
     )
 
 
-def snapshot_span(spark: SparkSession, folder: str) -> tuple[date, date] | None:
-    """First and last snapshot day from the fact table alone, without its dimensions."""
-    return stock.snapshot_span(
-        load(spark, folder, "lineitem").select(F.col("l_shipdate").alias("snapshot_ts"))
-    )
-
-
 def branch_register(spark: SparkSession, folder: str) -> DataFrame:
     populations = (
         load(spark, folder, "customer")
@@ -164,10 +161,13 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def daily_indicators(spark: SparkSession, folder: str, month: date | None = None) -> DataFrame:
+def daily_indicators(
+    spark: SparkSession, folder: str, months: tuple[date, date] | None = None
+) -> DataFrame:
+    """Indicators by branch and day; ``months`` limits the orders read to those from one day's month to another's."""
     orders = load(spark, folder, "orders")
-    if month is not None:
-        orders = orders.filter(in_month_of("o_orderdate", month))
+    if months is not None:
+        orders = between_days(orders, "o_orderdate", months[0].replace(day=1), next_month(months[1]))
     # by customer and day first, so that a customer with very many orders is one row a day
     daily = orders.groupBy(
         F.col("o_custkey").alias("site"), F.col("o_orderdate").cast("date").alias("day")
@@ -187,10 +187,12 @@ def current_units(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def maintenance(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "lineitem").select(
+def maintenance(spark: SparkSession, folder: str, lineitem: DataFrame | None = None) -> DataFrame:
+    facts = load(spark, folder, "lineitem") if lineitem is None else lineitem
+    return facts.select(
         F.col("l_suppkey").alias("site"), F.col("l_shipdate").alias("finished_ts"), F.col("l_orderkey").alias("job_id"),
         F.when(F.col("l_returnflag") == "R", INTERNAL_JOB).otherwise("customer").alias("job_type"),
+        *_partition(facts),
     )
 
 

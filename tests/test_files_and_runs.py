@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from conftest import d, rows, ts
+from pyspark.sql import functions as F
 
 from depotcast import contracts
 from depotcast.config import BoostedConfig
+from depotcast.operators import profiles
 from depotcast.operators.profiles import catalog_columns, column_profile
 from depotcast.plans.full_run import Inputs, RunConfig, run
 from depotcast.registry.spark_queries import QUERIES
@@ -81,6 +85,48 @@ def test_approximate_counts_are_near_the_exact_ones(spark):
     assert exact == {"k": 5000, "s": 20000} and all(abs(near[c] - n) <= 0.15 * n for c, n in exact.items())
 
 
+def test_exact_counts_do_not_depend_on_the_columns_taken_together(spark, monkeypatch):
+    data = spark.range(50).selectExpr("id", "id % 7 AS k", "cast(id % 3 AS string) AS s", "array(id % 2) AS v", "cast(null AS date) AS e")
+    counts = []
+    for columns in (1, 2, 9):
+        monkeypatch.setattr(profiles, "COLUMNS_AT_ONCE", columns)
+        counts.append([r.distinct_count for r in column_profile({"t": data}, exact=True).collect()])
+    assert counts == [[50, 7, 3, 2, 0]] * 3
+
+
+def test_parts_merge_without_reading_them_again(spark, tmp_path):
+    def part(first, last):
+        return spark.range(first, last).selectExpr(
+            "id", "cast(id % 9000 AS string) AS s", "CASE WHEN id % 5 > 0 THEN cast(id % 100 AS double) / 8 END AS x",
+            "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 400 AS int)) AS t", "id % 2 = 0 AS b",
+            "array(id % 3) AS v", "cast(id % 11 AS decimal(12,2)) AS d", "cast(null AS date) AS e", "cast(id % 6 AS tinyint) AS i",
+        )
+
+    whole = part(0, 40000)
+    for name, (first, last) in {"1": (0, 25000), "2": (20000, 40000)}.items():  # 5000 rows are in both
+        part(first, last).write.parquet(str(tmp_path / "data" / name))
+        kept = spark.read.parquet(str(tmp_path / "data" / name))
+        profiles.profile_part({"t": kept}).write.parquet(str(tmp_path / "profile" / f"part={name}"))
+    shutil.rmtree(tmp_path / "data")  # the merge has the parts' profiles alone
+    got = {r.column_name: r for r in profiles.merged_profile(spark.read.parquet(str(tmp_path / "profile"))).collect()}
+    want = {r.column_name: r for r in column_profile({"t": whole}, exact=True).collect()}
+    assert list(got) == list(want)
+    for name, r in got.items():
+        w = want[name]
+        assert (r.ordinal, r.data_type, r.n_rows) == (w.ordinal, w.data_type, 45000)
+        assert abs(r.distinct_count - w.distinct_count) <= profiles.SKETCH_TOLERANCE * w.distinct_count
+        if name != "d":  # shown with 18 decimals
+            assert (r.min_value, r.max_value, r.max_text_length) == (w.min_value, w.max_value, w.max_text_length)
+    assert got["x"].null_count == 9000 and got["e"].null_count == 45000 and got["d"].max_value.startswith("10.0")
+
+
+def test_sketches_stay_within_the_stated_tolerance(spark):
+    for n in (10, 3000, 100_000, 2_000_000):
+        data = spark.range(2 * n).selectExpr(f"id % {n} AS k", f"concat('k', id % {n}) AS s")
+        for r in profiles.merged_profile(profiles.profile_part({"t": data})).collect():
+            assert abs(r.distinct_count - n) <= profiles.SKETCH_TOLERANCE * n
+
+
 def test_catalogue_lists_columns_in_order(spark):
     spark.createDataFrame([(1, "a")], "n int, s string").createOrReplaceTempView("listed_here")
     got = [tuple(r) for r in catalog_columns(spark).where("table_name = 'listed_here'").collect()]
