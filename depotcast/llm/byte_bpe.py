@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,45 +24,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotcast.llm.common import fresh
+from depotcast.llm.caches import PieceCache, held, in_slices
+from depotcast.llm.common import fresh, ship_package
 
-#: Pieces of text, and pre-tokens, that a worker keeps in each of two generations.
-PIECES_KEPT, TOKENS_KEPT = 250_000, 400_000
-#: Longer pieces are encoded but not kept.
-CACHED_CHARS = 48
+#: Bytes of pieces of text, and of pre-tokens, with their ids that a worker keeps, in each of two generations.
+PIECES_KEPT, TOKENS_KEPT = 48 << 20, 64 << 20
 #: Pieces whose distinct pre-tokens are merged together.
-GROUP = 400_000
+GROUP = 200_000
+#: The one pattern under which a blank between non-blanks always begins a pre-token. Fixed value.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: In the list of tokens: the place between two pre-tokens, and one that its left neighbour has taken in.
 BARRIER, MERGED = -1, -2
 BLANKS_TOGETHER = regex.compile(r"^ | $| \s|\s ")
 SINGLE_BLANK = regex.compile(r"(?<=\S)(?= \S)")
+#: How ids are written.
+ID, PACK = np.dtype("<u4"), struct.Struct("<I").pack
 #: Bits of a word in the bitmap, and their logarithm.
 FAN, SHIFT = 256, 8
 
 
-class Generations:
-    """A cache in two generations of at most ``size`` entries: when the young one is full it
-    becomes the old one and the old one is forgotten, so frequent keys survive."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 def cut(text: str) -> list[str]:
-    """Pieces that hold whole pre-tokens.
+    """Pieces that hold whole pre-tokens of the pattern ``WORDS``.
 
     A single blank between two non-blanks always begins a pre-token, so the text is cut before
     it. Where blanks stand together the neighbours stay in one piece.
@@ -75,12 +57,29 @@ def cut(text: str) -> list[str]:
     return [x for x in SINGLE_BLANK.split(text) if x]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A rank file: base64 of a token's bytes and its rank on each line."""
+    with open(path, "rb") as lines:
+        table = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in table}
+
+
+class Decoder:
+    """Bytes of ids of one rank table."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of = {i: b for b, i in ranks.items()}
+
+    def decode(self, ids: bytes | None) -> bytes:
+        """The bytes of little-endian 32-bit ids; None has none."""
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, ID).tolist())) if ids else b""
+
+
 class ByteBPE:
-    """Encoder and decoder of one rank table."""
+    """Encoder of one rank table."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.bytes_of = {i: b for b, i in ranks.items()}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.low = [0] * (max(ranks.values()) // FAN + 1)  # all zero between two calls
         self.pairs: dict[int, int] = {}
@@ -89,14 +88,12 @@ class ByteBPE:
                 a, b = ranks.get(whole[:cut]), ranks.get(whole[cut:])
                 if a is not None and b is not None:
                     self.pairs[a << 32 | b] = rank
-        self.dtype = np.dtype("<u4")
-        self.pieces, self.tokens = Generations(PIECES_KEPT), Generations(TOKENS_KEPT)
+        self.words = pattern == WORDS  # else pre-tokens are taken from whole texts
+        self.pieces, self.tokens = PieceCache(PIECES_KEPT), PieceCache(TOKENS_KEPT)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
-        with open(path, "rb") as lines:
-            table = (line.split() for line in lines if line.strip())
-            return cls({base64.b64decode(token): int(rank) for token, rank in table}, pattern)
+        return cls(read_ranks(path), pattern)
 
     def merge(self, tokens: list[bytes]) -> list[list[int]]:
         """Ids of each of some pre-tokens.
@@ -170,101 +167,106 @@ class ByteBPE:
             start = end + 1
         return out
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of each piece; the pre-tokens that are not known are merged together."""
-        found, unknown = {}, {}
-        for piece in pieces:
-            ids = self.pieces.get(piece)
-            if ids is not None:
-                found[piece] = ids
-            elif piece[0] == " " and piece[1:].isalpha():  # one pre-token, no need to run the pattern
-                unknown[piece] = [piece]
-            elif piece[0] == " " and piece[1:-1].isalpha() and piece[-1] in ",.;:!?":
-                unknown[piece] = [piece[:-1], piece[-1]]
-            else:
-                unknown[piece] = self.pattern.findall(piece)
-        ids_of, new = {}, []
-        for token in set().union(*unknown.values()):
-            ids = self.tokens.get(token)
-            if ids is None:
-                coded = token.encode()
-                whole = self.ranks.get(coded)
-                if whole is None:
-                    new.append((token, coded))
-                    continue
-                ids = struct.pack("<I", whole)
-            ids_of[token] = ids
-        for (token, _), ids in zip(new, self.merge([coded for _, coded in new]), strict=True):
-            ids_of[token] = struct.pack(f"<{len(ids)}I", *ids)
-        for token, ids in ids_of.items():
-            if len(token) <= CACHED_CHARS:
-                self.tokens.put(token, ids)
-        for piece, tokens in unknown.items():
-            found[piece] = ids = ids_of[tokens[0]] if len(tokens) == 1 else b"".join(map(ids_of.__getitem__, tokens))
-            if len(piece) <= CACHED_CHARS:
-                self.pieces.put(piece, ids)
-        return found
+    def _pre_tokens(self, piece: str) -> list[str]:
+        if piece[0] == " " and piece[1:].isalpha():  # one pre-token, no need to run the pattern
+            return [piece]
+        if piece[0] == " " and piece[1:-1].isalpha() and piece[-1] in ",.;:!?":
+            return [piece[:-1], piece[-1]]
+        return self.pattern.findall(piece)
+
+    def _learn_tokens(self, tokens: set[str]) -> None:
+        """Have the ids of all pre-tokens in their cache; those that are not known are merged together."""
+        unknown = self.tokens.missing(tokens)
+        coded = [token.encode() for token in unknown]
+        whole = [self.ranks.get(x) for x in coded]
+        merged = iter(self.merge([x for x, rank in zip(coded, whole, strict=True) if rank is None]))
+        self.tokens.add(unknown, [PACK(rank) if rank is not None else struct.pack(f"<{len(ids := next(merged))}I", *ids) for rank in whole])
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Have the ids of all pieces in their cache."""
+        unknown = self.pieces.missing(pieces)
+        parts = [self._pre_tokens(piece) for piece in unknown]
+        self._learn_tokens(set().union(*parts))
+        ids = self.tokens.young.__getitem__
+        self.pieces.add(unknown, [ids(x[0]) if len(x) == 1 else b"".join(map(ids, x)) for x in parts])
+        self.tokens.end_group()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text, little-endian, 32 bits each; None has none."""
         group: list[list[str]] = []
-        held = 0
+        size = 0
         for text in texts:
-            pieces = cut(text) if text else []
+            pieces = (cut(text) if self.words else self.pattern.findall(text)) if text else []
             group.append(pieces)
-            held += len(pieces) + len(text or "") // 16
-            if held > GROUP:
+            size += len(pieces) + len(text or "") // 16
+            if size > GROUP:
                 yield from self._encode_group(group)
-                group, held = [], 0
+                group, size = [], 0
         yield from self._encode_group(group)
 
     def _encode_group(self, group: list[list[str]]) -> Iterator[bytes]:
-        ids = self._learn(set().union(*group)) if group else {}
+        learn, cache = (self._learn, self.pieces) if self.words else (self._learn_tokens, self.tokens)
+        learn(set().union(*group))
+        ids = cache.young.__getitem__
         for pieces in group:
-            yield b"".join(map(ids.__getitem__, pieces))
+            yield b"".join(map(ids, pieces))
+        cache.end_group()
+
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+@dataclass(frozen=True)
+class Coder:
+    """What one worker needs to encode texts, and to decode the ids again if that is wanted."""
 
+    encoder: ByteBPE
+    decoder: Decoder
 
-@lru_cache(maxsize=2)
-def _coder(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE.from_file(path, pattern)
+    @classmethod
+    def from_file(cls, path: str, pattern: str) -> Coder:
+        ranks = read_ranks(path)
+        return cls(ByteBPE(ranks, pattern), Decoder(ranks))
 
 
-def encode_table(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", into: str = "token_ids") -> DataFrame:
+def encode_table(
+    docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", into: str = "token_ids", decoded: str | None = None
+) -> DataFrame:
     """``docs`` with ``into``: the ids of each whole text as little-endian 32-bit integers.
 
-    A null text has no ids. All columns and repeated rows stay; ``into`` must be a new name. The
-    rank file is read by each worker from ``ranks_path``, which every machine must have.
+    With ``decoded``, a column of that name follows with the bytes that these ids decode to. A null
+    text has no ids. All columns and repeated rows stay; ``into`` and ``decoded`` must be new names.
+    The rank file is read by each worker from ``ranks_path``, which every machine must have.
     """
-    if into in docs.columns:
-        raise ValueError(f"the documents already have a column {into}")
-    work = fresh(docs.columns, "ids_work")
-    schema = T.StructType([*docs.schema.fields, T.StructField(work, T.BinaryType())])
+    wanted = [into, *([decoded] if decoded else [])]
+    for name in wanted:
+        if name in docs.columns:
+            raise ValueError(f"the documents already have a column {name}")
+    ship_package(docs.sparkSession)
+    work = [fresh(docs.columns, f"work_{i}") for i in range(len(wanted))]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(w, T.BinaryType()) for w in work]])
 
     def encode(batches):
-        coder = _coder(ranks_path, pattern)
-        for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
-            ids = list(coder.encode(column.to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, work])
+        coder = held(("byte_bpe", ranks_path, pattern), lambda: Coder.from_file(ranks_path, pattern))
+        for batch in in_slices(batches, text):
+            ids = list(coder.encoder.encode(batch.column(batch.schema.names.index(text)).to_pylist()))
+            columns = [pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array(map(coder.decoder.decode, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *work])
 
-    return docs.mapInArrow(encode, schema).withColumnRenamed(work, into)
+    return docs.mapInArrow(encode, schema).withColumnsRenamed(dict(zip(work, wanted, strict=True)))
 
 
-def decode_table(coded: DataFrame, ranks_path: str, pattern: str, *, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
+def decode_table(coded: DataFrame, ranks_path: str, *, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """``coded`` with ``into``: the bytes of the ids in column ``ids`` (null: none)."""
     if into in coded.columns:
         raise ValueError(f"the rows already have a column {into}")
+    ship_package(coded.sparkSession)
     work = fresh(coded.columns, "decoded_work")
     schema = T.StructType([*coded.schema.fields, T.StructField(work, T.BinaryType())])
 
     def decode(batches):
-        coder = _coder(ranks_path, pattern)
-        for batch in batches:
-            column = batch.column(batch.schema.names.index(ids))
-            texts = [coder.decode(np.frombuffer(x, coder.dtype)) if x else b"" for x in column.to_pylist()]
+        decoder = held(("byte_bpe decoder", ranks_path), lambda: Decoder(read_ranks(ranks_path)))
+        for batch in in_slices(batches, ids):
+            texts = [decoder.decode(x) for x in batch.column(batch.schema.names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, work])
 
     return coded.mapInArrow(decode, schema).withColumnRenamed(work, into)

@@ -46,9 +46,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and what they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = byte_bpe.encode_table(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
-    decoded = byte_bpe.decode_table(coded, ranks, pattern)
-    return byte_bpe.digests(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode_table(docs, ranks, pattern, decoded="decoded")
+    return byte_bpe.digests(coded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
