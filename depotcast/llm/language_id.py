@@ -7,38 +7,38 @@ words: the scores' sum less a penalty for every change of language (Viterbi). A
 the letters of its words; the text's language is the one with the largest share.
 
 The classifier is counted by Spark over labelled rows: only counts by language and letter sequence
-come to the driver, for at most ``TRAIN_DOCS`` documents of each language, chosen by a hash of their
-text, and of these the most frequent ``GRAMS`` sequences.
+come to the driver, for the ``TRAIN_DOCS`` different texts of each language with the smallest hashes.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotcast.llm.common import fresh
+from depotcast.llm.caches import held, in_slices
+from depotcast.llm.common import forget, fresh, ship_package, stored
 
-#: Labelled documents of each language that the classifier is fitted on.
+#: Different labelled texts of each language that the classifier is fitted on.
 TRAIN_DOCS = 1000
-#: Letter sequences of each language that it keeps.
-GRAMS = 20_000
 #: Longest letter sequence; three code points fit a key of 63 bits.
 LETTERS = 3
 #: What a change of language costs.
 SWITCH = 12.0
 #: Bound of a word's advantage for one language over another.
 WORD_BOUND = 8.0
-#: Words whose scores a worker keeps.
-WORDS_KEPT = 500_000
+#: Score of a word for a language that its script rules out: no path goes there while another way is open.
+EXCLUDED = -1e6
+#: Words whose scores a worker keeps (some 150 bytes each).
+WORDS_KEPT = 400_000
 #: Words, or parts of long ones, that are scored at a time.
 PARTS_AT_ONCE = 4096
 #: Words that a path is followed over at a time.
@@ -71,8 +71,7 @@ def script_of_letter(letter: str) -> str:
 
 def script_of(word: str) -> str:
     """The script of most of a word's letters; the first of equals."""
-    names = [script_of_letter(c) for c in word]
-    return max(dict.fromkeys(names), key=names.count)
+    return Counter(map(script_of_letter, word)).most_common(1)[0][0]
 
 
 def letter_runs(piece: bytes) -> list[str]:
@@ -90,32 +89,28 @@ def gram_key(gram: str) -> int:
     return sum(ord(c) << 21 * i for i, c in enumerate(gram))
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Model:
-    """Log probabilities (base 2) by letter sequence, the languages of each script, and what an
-    unseen sequence scores."""
+    """Log probabilities (base 2) by letter sequence and language, and the languages of each script.
+
+    ``keys`` has the sequences' numbers, ascending. ``rows`` has a row of zeros, then what a sequence
+    that was not seen scores, then a row for each key.
+    """
 
     languages: tuple[str, ...]
-    table: dict[str, tuple[float, ...]]
-    unseen: tuple[float, ...]
+    keys: np.ndarray
+    rows: np.ndarray
     scripts: dict[str, tuple[bool, ...]]
 
-    @cached_property
-    def _rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """The sequences' keys, ascending, and the scores: none, unseen, then of each key."""
-        keys = np.array([gram_key(gram) for gram in self.table], np.int64)
-        order = np.argsort(keys)
-        n = len(self.languages)
-        return keys[order], np.vstack(([(0.0,) * n, self.unseen], np.array(list(self.table.values())).reshape(-1, n)[order]))
-
     def scores(self, words: list[str]) -> np.ndarray:
-        """The words' scores by language: 0 for the best, not under -WORD_BOUND. A word in a script
-        that no learned language has scores 0 for all, and so is left to its neighbours."""
+        """The words' scores by language: 0 for the best, not under -WORD_BOUND, and ``EXCLUDED`` for
+        languages that the word's script rules out. A word in a script that no learned language has
+        scores 0 for all, and so is left to its neighbours."""
         n = len(self.languages)
         out = np.zeros((len(words), n))
         if n < 2:
             return out
-        scripts = [self.scripts.get("latin" if word.isascii() else script_of(word[:LONG_WORD])) for word in words]
+        scripts = [self.scripts.get("latin" if word.isascii() else script_of(word)) for word in words]
         parts = [
             (i, f"^{word[at : at + LONG_WORD]}$")
             for i, word in enumerate(words) if scripts[i] is not None for at in range(0, len(word), LONG_WORD)
@@ -123,12 +118,13 @@ class Model:
         for first in range(0, len(parts), PARTS_AT_ONCE):
             owners, marked = zip(*parts[first : first + PARTS_AT_ONCE], strict=True)
             np.add.at(out, list(owners), self._sums(marked))
-        out[~np.array([allowed or (True,) * n for allowed in scripts]).reshape(-1, n)] = -np.inf
-        return np.maximum(out - out.max(axis=1, keepdims=True, initial=-np.inf), -WORD_BOUND)
+        allowed = np.array([x or (True,) * n for x in scripts], bool).reshape(-1, n)
+        best = np.where(allowed, out, -np.inf).max(axis=1, keepdims=True, initial=-np.inf)
+        return np.where(allowed, np.maximum(out - best, -WORD_BOUND), EXCLUDED)
 
     def _sums(self, marked: tuple[str, ...]) -> np.ndarray:
         """The summed scores of the letter sequences of each marked word."""
-        keys, rows = self._rows
+        keys, rows = self.keys, self.rows
         codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.array([len(x) for x in marked])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -150,32 +146,60 @@ class Model:
         return np.where(keys[at] == wanted, at + 2, 1) if len(keys) else np.ones(len(wanted), np.int64)
 
 
-def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", per_language: int = TRAIN_DOCS, grams: int = GRAMS) -> Model:
+def _drawn(labelled: DataFrame, per_language: int) -> DataFrame:
+    """The ``per_language`` different texts of each language with the smallest hashes, once each.
+
+    Hashes and languages alone are counted and compared. The bound of a language's hashes is looked
+    for among those under a share of all that holds twice as many as needed, so that no task
+    orders more; should a share turn out to hold too few, it is doubled.
+    """
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
+    different = stored(hashed.select("lang", "h").distinct(), "hashes")
+    sizes = {r.lang: r["count"] for r in different.groupBy("lang").count().collect()}  # one row per language
+    bounds: dict[str, int] = {lang: (1 << 63) - 1 for lang, n in sizes.items() if n <= per_language}
+    share = 2 * per_language
+    while len(bounds) < len(sizes):
+        open_ones = {lang: -(1 << 63) + min((share << 64) // n, (1 << 64) - 1) for lang, n in sizes.items() if lang not in bounds}
+        under = different.where(F.col("h") <= _by_language(open_ones))
+        order = Window.partitionBy("lang").orderBy("h")
+        last = under.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == per_language)
+        bounds |= {r.lang: r.h for r in last.collect()}
+        share *= 2
+    forget(different)
+    if not bounds:
+        return labelled
+    return hashed.where(F.col("h") <= _by_language(bounds)).dropDuplicates(["lang", "h"]).drop("h")
+
+
+def _by_language(values: dict[str, int]) -> Column:
+    """A number for each language; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for lang in sorted(values) for x in (lang, values[lang])]), F.col("lang"))
+
+
+def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", per_language: int = TRAIN_DOCS) -> Model:
     """A model of the languages in ``docs``. Rows without a language or text teach nothing; without
-    any such row the model has no languages."""
+    any such row the model has no languages. Copies of a text teach once, and every language that
+    has a text is learned. A language is a candidate for the scripts that its texts have words in."""
+    ship_package(docs.sparkSession)
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
-    # about per_language rows of each, the same ones every time: those whose text hashes lowest
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))]) if sizes else F.lit(None)
-    drawn = (F.xxhash64("text", "lang").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))) if sizes else F.lit(1.0)
-    sample = labelled.where(drawn <= F.element_at(share, F.col("lang"))) if sizes else labelled
+    sample = _drawn(labelled, per_language)
     schema = "lang string, gram string, script string, n long"
 
     def count(batches):
         totals: dict[tuple, int] = {}
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             pieces: dict[str, Counter] = {}
             for language, body in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 pieces.setdefault(language, Counter()).update(body.translate(_TEXT).split())
             for language, counted in pieces.items():
                 for piece, n in counted.items():
                     for word in letter_runs(piece):
-                        script = (language, None, script_of(word[:LONG_WORD]))
+                        script = (language, None, script_of(word))
                         totals[script] = totals.get(script, 0) + n
                         for at in range(0, len(word), LONG_WORD):
                             for gram in grams_of(word[at : at + LONG_WORD]):
                                 totals[language, gram, None] = totals.get((language, gram, None), 0) + n
-            if len(totals) > 500_000:
+            if len(totals) > 200_000:
                 yield _count_rows(totals)
                 totals = {}
         yield _count_rows(totals)
@@ -186,32 +210,27 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", per_language
             [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(totals.values()), pa.int64())], names=["lang", "gram", "script", "n"]
         )
 
-    counts = sample.mapInArrow(count, schema).groupBy("lang", "gram", "script").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    counts = counts.persist()
-    kept = counts.where("gram is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= grams).collect()
-    scripts_seen = counts.where("script is not null").collect()
-    totals_seen = {r.lang: r.n for r in counts.where("gram is not null").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    counts.unpersist()
-    languages = tuple(sorted(totals_seen))
-    place = {x: i for i, x in enumerate(languages)}
+    counts = sample.mapInArrow(count, schema).groupBy("lang", "gram", "script").agg(F.sum("n").alias("n")).collect()  # of TRAIN_DOCS texts
+    words: dict[str, dict[str, int]] = {}
+    grams: dict[str, dict[str, int]] = {}
+    for r in counts:
+        if r.gram is None:
+            words.setdefault(r.script, {})[r.lang] = r.n
+        else:
+            grams.setdefault(r.gram, {})[r.lang] = r.n
+    totals = Counter()
+    for seen in grams.values():
+        totals.update(seen)
+    languages = tuple(sorted(totals))
     # half a count more for every sequence, seen or not
-    different = len({r.gram for r in kept}) + 1
-    below = [math.log2(0.5 / (totals_seen[x] + 0.5 * different)) for x in languages]
-    table: dict[str, list[float]] = {}
-    for r in kept:
-        i = place[r.lang]
-        table.setdefault(r.gram, list(below))[i] = math.log2((r.n + 0.5) / (totals_seen[r.lang] + 0.5 * different))
-    words = {}
-    for r in scripts_seen:
-        words[r.lang] = words.get(r.lang, 0) + r.n
-    scripts: dict[str, list[bool]] = {}
-    for r in scripts_seen:
-        if r.lang in place and r.n >= max(1, words[r.lang] / 1000):  # a script of one word in a thousand at least
-            scripts.setdefault(r.script, [False] * len(languages))[place[r.lang]] = True
-    return Model(languages, {k: tuple(v) for k, v in table.items()}, tuple(below), {k: tuple(v) for k, v in scripts.items()})
+    size = np.array([totals[x] for x in languages]) + 0.5 * (len(grams) + 1)
+    numbered = sorted((gram_key(gram), gram) for gram in grams)
+    seen = np.array([[grams[gram].get(x, 0) for x in languages] for _, gram in numbered]).reshape(len(grams), len(languages))
+    rows = np.log2((np.vstack((np.zeros(len(languages)), seen)) + 0.5) / size) if languages else np.empty((1, 0))
+    return Model(
+        languages, np.array([key for key, _ in numbered], np.int64), np.vstack((np.zeros(len(languages)), rows)),
+        {script: tuple(x in by for x in languages) for script, by in words.items()},
+    )
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -269,8 +288,8 @@ class Labeller:
 
     def clear(self) -> None:
         self.known = 0
-        self.scores = np.zeros((1024, len(self.model.languages)))
-        self.letters = np.zeros(1024)
+        self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.letters = np.zeros(1024, np.float32)
         self.at: dict[bytes, int] = {}
         self.several: dict[bytes, range] = {}
 
@@ -308,7 +327,7 @@ class Labeller:
             places = np.array([p for piece, at in zip(pieces, places.tolist(), strict=True) for p in (self.several[piece] if at < 0 else (at,))], np.int64)
         if not len(places) or not self.model.languages:
             return [], None, 0.0
-        scores, letters = self.scores[places], self.letters[places]
+        scores, letters = self.scores[places].astype(np.float64), self.letters[places]
         path = viterbi(scores, self.penalty)
         k = len(self.model.languages)
         share = np.bincount(path, letters, k)
@@ -335,11 +354,6 @@ RESULT = T.StructType(
 )
 
 
-@lru_cache(maxsize=1)
-def _labeller(shared_id: int, holder, penalty: float) -> Labeller:
-    return Labeller(holder.value, penalty)
-
-
 def identify(docs: DataFrame, model: Model, *, text: str = "text", into: str = "language", penalty: float = SWITCH) -> DataFrame:
     """``docs`` with a struct ``into``: lang, score (0 to 1) and the spans (lang, first_word, n_words).
 
@@ -349,16 +363,17 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", into: str = "
     """
     if into in docs.columns:
         raise ValueError(f"the documents already have a column {into}")
+    ship_package(docs.sparkSession)
     work = fresh(docs.columns, "language_work")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by GRAMS per language
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by TRAIN_DOCS per language
     schema = T.StructType([*docs.schema.fields, T.StructField(work, RESULT)])
 
     def label(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(RESULT)
-        labeller = _labeller(id(shared.value), shared, penalty)
-        for batch in batches:
+        labeller = held(("language", name), lambda: Labeller(shared.value, penalty))
+        for batch in in_slices(batches, text):
             rows = []
             for x in batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist():
                 spans, lang, score = labeller.label(x)
