@@ -6,24 +6,29 @@ item of fewer words, but not none, is one window. All windows go into one automa
 each normalised text once; a match's end is turned into words, and words into places in the
 original text.
 
-The items are shipped to the tasks. Their size is checked first: beyond ``ITEM_BYTES`` they are
-dealt into several automata of at most about that size, each of which reads the texts in turn
-within one pass over the table, so a larger benchmark costs time and not memory.
+The items are shipped to the tasks, and their size is checked first. Items beyond ``ITEM_BYTES``
+are dealt into parts of about that size; each has an automaton and a pass of its own over the written
+texts, one after the other, so the driver and a task never hold more than one part. What the
+passes find is united by row. A larger benchmark costs time, not memory.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotcast.llm.common import fresh
+from depotcast.llm.caches import held, in_slices
+from depotcast.llm.common import fresh, ship_package, stored
 
 #: Consecutive item words that count as a leak.
 WINDOW = 10
-#: Text of items that one automaton may hold.
+#: Text of items that are shipped at once and one automaton holds (a single longer item is a part of its own).
 ITEM_BYTES = 8 << 20
 
 #: Byte by byte: word bytes stay (A-Z lowered), all others become spaces; lengths stay the same.
@@ -83,6 +88,18 @@ class ItemScanner:
             ranges.append((end - size, end))
         return merged(ranges), items
 
+    def hits(self, text: bytes | None) -> dict:
+        """What ``HITS`` says of one text."""
+        words = words_of(text)
+        ranges, items = self.scan(words)
+        spans = []
+        if ranges:
+            first, end = word_places(text)
+            a = char_places(text, first[[p for p, _ in ranges]]).tolist()
+            b = char_places(text, end[[q - 1 for _, q in ranges]]).tolist()
+            spans = [{"first_word": p, "end_word": q, "start": s, "end": e} for (p, q), s, e in zip(ranges, a, b, strict=True)]
+        return {"n_words": len(words), "n_hit": sum(q - p for p, q in ranges), "items": sorted(items), "spans": spans}
+
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
@@ -94,18 +111,6 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SCANNERS: dict[tuple[int, int], ItemScanner] = {}
-
-
-def _scanner(items, window: int) -> ItemScanner:
-    """One automaton per worker for a broadcast list of items."""
-    at = (items.id if hasattr(items, "id") else id(items), window)
-    if at not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[at] = ItemScanner(items.value, window)
-    return _SCANNERS[at]
-
-
 HITS = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -123,6 +128,50 @@ HITS = T.StructType(
 )
 
 
+def _scanned(docs: DataFrame, text: str, into: str, items: DataFrame, window: int) -> DataFrame:
+    """``docs`` with the hits of some items, which are shipped to the tasks as a whole."""
+    spark = docs.sparkSession
+    listed = [(r.item, bytes(r.text)) for r in items.toLocalIterator()]  # ITEM_BYTES at most, or one item
+    shared, name = spark.sparkContext.broadcast(listed), uuid.uuid4().hex
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, HITS)])
+
+    def scan(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(HITS)
+        # known by a name of this very call: a worker may have served other items before
+        scanner = held(("items", name), lambda: ItemScanner(shared.value, window))
+        for batch in in_slices(batches, text):
+            rows = [scanner.hits(x) for x in batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, into])
+
+    return docs.mapInArrow(scan, schema)
+
+
+def _united(found: DataFrame, key: str, into: str) -> DataFrame:
+    """One row per ``key`` with the hits of all passes."""
+    lists = found.groupBy(key).agg(
+        F.max(f"{into}.n_words").alias("n_words"),
+        F.sort_array(F.flatten(F.collect_list(f"{into}.spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{into}.items")))).alias("items"),
+    )
+
+    def join(done, span):
+        last = F.element_at(done, -1)
+        longer = F.struct(
+            last["first_word"].alias("first_word"), F.greatest(last["end_word"], span["end_word"]).alias("end_word"),
+            last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"),
+        )
+        adjoins = (F.size(done) > 0) & (span["first_word"] <= F.try_element_at(done, F.lit(-1))["end_word"])
+        return F.when(adjoins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(span)))
+
+    # spans are few per text and in order: adjoining ones become one
+    empty = F.array().cast(HITS["spans"].dataType)
+    merged_spans = lists.withColumn("spans", F.aggregate("spans", empty, join))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end_word"] - x["first_word"])
+    return merged_spans.select(key, F.struct("n_words", n_hit.alias("n_hit"), "items", "spans").alias(into))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, item_bytes: int = ITEM_BYTES,
     text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "leaks",
@@ -136,51 +185,25 @@ def find_leaks(
     """
     if into in docs.columns:
         raise ValueError(f"the documents already have a column {into}")
-    spark = docs.sparkSession
+    ship_package(docs.sparkSession)
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where(
         "item is not null and text is not null"
     )
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    shards = max(1, -(-size // item_bytes))
-    work, out = fresh(docs.columns, "leak_work"), docs
-    if shards > 1:
-        items = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
-    shared = [
-        spark.sparkContext.broadcast([(r.item, bytes(r.text)) for r in (items.where(F.col("shard") == k) if shards > 1 else items).toLocalIterator()])
-        for k in range(shards)
-    ]
-    schema = T.StructType([*docs.schema.fields, T.StructField(work, HITS)])
-
-    def scan(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(HITS)
-        # one automaton at a time: a worker that has several reads the batch once for each
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist()
-            words = [words_of(x) for x in texts]
-            ranges: list[list] = [[] for _ in texts]
-            hit_items: list[set] = [set() for _ in texts]
-            for part in shared:
-                scanner = _scanner(part, window)
-                for i, w in enumerate(words):
-                    got, of = scanner.scan(w)
-                    if of:
-                        ranges[i] += got
-                        hit_items[i] |= of
-            rows = []
-            for x, w, r, of in zip(texts, words, ranges, hit_items, strict=True):
-                spans = []
-                if r:
-                    first, end = word_places(x)
-                    joined = merged(r)
-                    a = char_places(x, first[[p for p, _ in joined]]).tolist()
-                    b = char_places(x, end[[q - 1 for _, q in joined]]).tolist()
-                    spans = [{"first_word": p, "end_word": q, "start": s, "end": e} for (p, q), s, e in zip(joined, a, b, strict=True)]
-                rows.append({"n_words": len(w), "n_hit": sum(s["end_word"] - s["first_word"] for s in spans), "items": sorted(of), "spans": spans})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, work])
-
-    return out.mapInArrow(scan, schema).withColumnRenamed(work, into)
+    parts = -(-size // item_bytes)
+    work = fresh(docs.columns, "leak_work")
+    if parts <= 1:
+        return _scanned(docs, text, work, items, window).withColumnRenamed(work, into)
+    row = fresh([*docs.columns, work], "leak_row")
+    kept = stored(docs.withColumn(row, F.monotonically_increasing_id()), "scanned")  # the numbers stay as they are
+    dealt = stored(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts))), "items")
+    texts, found = kept.select(row, text), []
+    for k in range(parts):
+        hits = _scanned(texts, text, work, dealt.where(F.col("part") == k), window).drop(text)
+        # the first pass has a row for every text, with its words; the others for those they hit
+        found.append(stored(hits if k == 0 else hits.where(F.col(work)["n_hit"] > 0), "hits"))
+    united = _united(reduce(DataFrame.unionAll, found), row, work)
+    return kept.join(united, row).drop(row).withColumnRenamed(work, into)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
