@@ -12,18 +12,19 @@ and ``manifest.json`` gives the type and each part's first document and first id
 set: prefix sums over the parts' sizes. Parts are in ascending key order, so a reader maps the
 files into memory and finds document ``i`` by arithmetic.
 
-Encoding goes through the ``tokenizers`` library. The vocabulary's pre-tokens never hold white
-space, so a text's ids are those of its white-space separated pieces in order; each distinct
-piece is encoded once per worker and kept in a bounded cache.
+Encoding goes through the ``tokenizers`` library. Where a vocabulary's pre-tokens never hold white
+space, a text's ids are those of its white-space separated pieces in order, and each distinct piece
+is encoded once and kept in a bounded cache. Probes tell whether that holds; with other tokenizers
+whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces that a worker keeps, in each of two generations.
-CACHE_ENTRIES = 400_000
-#: Longer pieces are encoded but not kept.
-CACHED_PIECE_BYTES = 64
-#: Pieces encoded by one call of the library.
-PIECES_PER_CALL = 20_000
+from depotcast.llm.caches import PieceCache, held, in_slices
+from depotcast.llm.common import ship_package
+
+#: Bytes of pieces and their ids that a worker keeps, in each of two generations.
+CACHE_BYTES = 96 << 20
+#: Pieces of text that are looked up together.
+GROUP = 200_000
+#: Pieces that make a line for the library, and lines of one call.
+PIECES_PER_LINE, LINES_PER_CALL = 64, 256
+#: A character that stands between the pieces of a line, a token of its own there.
+MARK, MARK_BYTE, SEPARATOR = "\x01", b"\x01", b" \x01 "
+#: What shows whether a tokenizer treats what stands between blanks one by one: two pieces and a blank.
+PROBES = (("a", "b", " "), ("one,", "'two", " "), ("x1", "!", "\n"), ("é", "中文", "\t"), ("it's", "...", "  "), ("-", "-", " "))
 #: Documents that one row of the reading side covers.
 DOCS_PER_READ = 4096
 #: Ids checksummed or handed on at a time.
@@ -55,57 +63,76 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def known(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of each of ``pieces``; unknown ones are encoded together."""
-        found, unknown = {}, []
-        young, old = self.young, self.old
-        for piece in pieces:
-            ids = young.get(piece)
-            if ids is None:
-                ids = old.get(piece)
-                if ids is None:
-                    unknown.append(piece)
+        self.known = PieceCache(CACHE_BYTES)
+        self.mark = self._mark_id()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _mark_id(self) -> int | None:
+        """The id of ``MARK`` standing alone, if this tokenizer treats pieces one by one; else None."""
+        mark = self._ids(MARK)
+        alone = len(mark) == 1 and all(
+            self._ids(f"{a}{blank}{MARK}{blank}{b}") == [*self._ids(a), *mark, *self._ids(b)] and self._ids(f"{a}{blank}{b}") == self._ids(a) + self._ids(b)
+            for a, b, blank in PROBES
+        )
+        return mark[0] if alone else None
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        """Have the ids of all ``pieces`` in the cache.
+
+        Unknown ones are encoded together, many in one line with ``MARK`` between two, which costs the
+        library far less than a line each; the places of its id cut the line's ids apart. Pieces that
+        hold the mark themselves have a line each.
+        """
+        unknown = self.known.missing(pieces)
+        apart = [x for x in unknown if MARK_BYTE in x]
+        together = [x for x in unknown if MARK_BYTE not in x] if apart else unknown
+        lines = [together[i : i + PIECES_PER_LINE] for i in range(0, len(together), PIECES_PER_LINE)]
+        lines += [[x] for x in apart]
+        for at in range(0, len(lines), LINES_PER_CALL):
+            some = lines[at : at + LINES_PER_CALL]
+            coded = self.tokenizer.encode_batch_fast([SEPARATOR.join(x).decode() for x in some], add_special_tokens=False)
+            for line, c in zip(some, coded, strict=True):
+                ids = np.array(c.ids, self.dtype)
+                if len(line) == 1:
+                    self.known.add(line, [ids.tobytes()])
                     continue
-            found[piece] = ids
-        for at in range(0, len(unknown), PIECES_PER_CALL):
-            some = unknown[at : at + PIECES_PER_CALL]
-            coded = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            found.update((x, np.array(c.ids, self.dtype).tobytes()) for x, c in zip(some, coded, strict=True))
-        for piece in pieces:
-            if len(piece) <= CACHED_PIECE_BYTES and piece not in young:
-                if len(young) >= CACHE_ENTRIES:
-                    self.old, self.young = young, {}
-                    young = self.young
-                young[piece] = found[piece]
-        return found
+                marks = np.flatnonzero(ids == self.mark) * self.dtype.itemsize
+                data = ids.tobytes()
+                starts = [0, *(marks + self.dtype.itemsize).tolist()]
+                self.known.add(line, [data[a:b] for a, b in zip(starts, [*marks.tolist(), len(data)], strict=True)])
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Per text its ids as bytes; None counts as empty."""
+        if self.mark is None:  # this tokenizer joins pieces across blanks: whole texts
+            coded = self.tokenizer.encode_batch_fast([(x or b"").decode() for x in texts], add_special_tokens=False)
+            yield from (np.array(c.ids, self.dtype).tobytes() for c in coded)
+            return
         group: list[list[bytes]] = []
-        held = 0
+        size = 0
         for text in texts:
             group.append(text.split() if text else [])  # bytes split at ASCII white space only
-            held += len(group[-1])
-            if held > 200_000:
+            size += len(group[-1])
+            if size > GROUP:
                 yield from self._encode_group(group)
-                group, held = [], 0
+                group, size = [], 0
         yield from self._encode_group(group)
 
     def _encode_group(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        ids = self.known(set().union(*group)) if group else {}
+        self._learn(set().union(*group))
+        ids = self.known.young.__getitem__
         for pieces in group:
-            yield b"".join(map(ids.__getitem__, pieces))
+            yield b"".join(map(ids, pieces))
+        self.known.end_group()
 
 
-@lru_cache(maxsize=2)
 def _encoder(tokenizer_path: str) -> PieceEncoder:
-    return PieceEncoder(tokenizer_path)
+    return held(("pieces", tokenizer_path), lambda: PieceEncoder(tokenizer_path))
 
 
 def _place(uri: str) -> tuple[pafs.FileSystem, str]:
+    uri = re.sub(r"^s3[an]://", "s3://", uri)  # the names that Hadoop gives to the same store
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
@@ -119,6 +146,7 @@ def write_token_files(
     Other columns are not read. A task writes under a name of its attempt and renames at the end,
     so a repeated task leaves the same files. An empty table gives no parts.
     """
+    ship_package(docs.sparkSession)
     key_type = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     # the hash spreads rows that share one key over several parts
@@ -133,9 +161,7 @@ def write_token_files(
         end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
         names = {kind: f"{folder}/part-{part:05d}.{kind}" for kind in ("ids", "offsets", "keys")}
         opened, keys, docs_in, ids_in = None, None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_slices(batches, "text"):
             if opened is None:
                 fs.create_dir(folder, recursive=True)
                 opened = {k: fs.open_output_stream(f"{v}.{attempt}") for k, v in names.items()}
@@ -192,20 +218,27 @@ def _mapped(fs: pafs.FileSystem, name: str, dtype: str, first: int, last: int) -
         return np.frombuffer(source.read_at(n * dtype.itemsize, first * dtype.itemsize), dtype)
 
 
+def _keys(fs: pafs.FileSystem, name: str, first: int, last: int) -> pa.Array:
+    """Keys ``first`` up to ``last`` of a part, from the row groups that hold them."""
+    with fs.open_input_file(name) as source:
+        file = pq.ParquetFile(source)
+        ends = np.cumsum([file.metadata.row_group(i).num_rows for i in range(file.num_row_groups)])
+        a, b = int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, last, "left"))
+        before = int(ends[a - 1]) if a else 0
+        column = file.read_row_groups(list(range(a, b + 1))).column(0)
+    return column.slice(first - before, last - first).combine_chunks()
+
+
 def read_token_files(spark: SparkSession, uri: str, *, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per document of the files: key, position, start, n_tokens, ids_crc32, and the ids if wanted.
 
     ``start`` counts the ids of all documents before it, ``ids_crc32`` is over the ids as
     little-endian unsigned 32-bit integers. Work is dealt out in runs of documents, not parts.
     """
+    ship_package(spark)
     manifest = read_manifest(uri)
     dtype = manifest["dtype"]
     key_type = T._parse_datatype_json_string(manifest["key_type"])
-    runs = [
-        (p["part"], first, min(first + DOCS_PER_READ, p["docs"]), p["doc_base"], p["id_base"])
-        for p in manifest["parts"]
-        for first in range(0, p["docs"], DOCS_PER_READ)
-    ]
     fields = [
         T.StructField(key, key_type), T.StructField("position", T.LongType()), T.StructField("start", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -221,7 +254,7 @@ def read_token_files(spark: SparkSession, uri: str, *, key: str = "doc_id", with
             for run in batch.to_pylist():
                 name, first, last = f"{folder}/part-{run['part']:05d}", run["first"], run["last"]
                 offsets = _mapped(fs, f"{name}.offsets", "<u8", first, last + 1).astype(np.int64)
-                keys = pq.read_table(f"{name}.keys", filesystem=fs).column("key").slice(first, last - first)
+                keys = _keys(fs, f"{name}.keys", first, last)
                 ids = _mapped(fs, f"{name}.ids", dtype, int(offsets[0]), int(offsets[-1]))
                 cuts = (offsets - offsets[0]).tolist()
                 crcs = []
@@ -231,7 +264,7 @@ def read_token_files(spark: SparkSession, uri: str, *, key: str = "doc_id", with
                         crc = zlib.crc32(ids[at : min(b, at + IDS_PER_STEP)].astype("<u4").tobytes(), crc)
                     crcs.append(crc)
                 columns = [
-                    keys.combine_chunks(), run["doc_base"] + np.arange(first, last), run["id_base"] + offsets[:-1],
+                    keys, run["doc_base"] + np.arange(first, last), run["id_base"] + offsets[:-1],
                     np.diff(offsets), np.array(crcs, np.int64),
                 ]
                 if with_ids:
@@ -239,5 +272,10 @@ def read_token_files(spark: SparkSession, uri: str, *, key: str = "doc_id", with
                 arrays = [pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    listed = spark.createDataFrame(runs, "part int, first long, last long, doc_base long, id_base long")
-    return listed.repartition(max(1, min(len(runs), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(read, schema)
+    parts = [(p["part"], p["docs"], p["doc_base"], p["id_base"]) for p in manifest["parts"]]  # a row per part
+    listed = spark.createDataFrame(parts, "part int, docs long, doc_base long, id_base long").select(
+        "part", "doc_base", "id_base", "docs", F.explode(F.expr(f"sequence(0L, docs - 1, {DOCS_PER_READ}L)")).alias("first")
+    )
+    runs = listed.withColumn("last", F.least("docs", F.col("first") + DOCS_PER_READ))
+    spread = 4 * spark.sparkContext.defaultParallelism
+    return runs.repartition(spread).mapInArrow(read, schema)
