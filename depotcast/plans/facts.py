@@ -33,15 +33,14 @@ def recorded_span(facts: DataFrame, moment: str, root: str | None = None) -> Spa
     files = storage.listing(facts)
     if files.startswith("plan "):
         return day_span(facts, moment)
-    log = RunLog(spark, root or shared_folder(spark, "spans"))
+    log = RunLog(spark, root or shared_folder(spark, "spans"), shared=True)
     name = f"span-{digest(files, moment)[:24]}"
 
     def write(path: str) -> None:
         span = day_span(facts, moment)
         storage.write_text(spark, f"{path}/span.json", json.dumps(None if span is None else [x.isoformat() for x in span]))
 
-    log.artifact(name, write)
-    span = json.loads(storage.read_text(spark, f"{log.folder(name)}/span.json"))
+    span = json.loads(storage.read_text(spark, f"{log.folder(log.artifact(name, write))}/span.json"))
     return None if span is None else (date.fromisoformat(span[0]), date.fromisoformat(span[1]))
 
 
@@ -64,6 +63,6 @@ def monthly_copy(facts: DataFrame, moment: str, name: str, root: str | None = No
     """
     spark = facts.sparkSession
     files = storage.listing(facts)
-    log = RunLog(spark, root or shared_folder(spark, "facts"))
+    log = RunLog(spark, root or shared_folder(spark, "facts"), shared=True)
     key = digest(files, moment, facts.schema.json())[:24]
     return log.table(f"{name}-{key}", lambda: by_month(facts, moment), [moment], {name: files}, partition_by=(MONTH_PARTITION,))

@@ -45,7 +45,7 @@ class ModelStore:
     """Saved models below ``root``, one folder each."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.log = RunLog(spark, root)
+        self.log = RunLog(spark, root, shared=True)
 
     def trained(self, training: boosted.Training) -> SavedModel:
         """The model of these training rows: loaded if it was ever fitted here, else fitted and saved."""
@@ -62,10 +62,10 @@ class ModelStore:
 
     def load(self, name: str) -> SavedModel:
         """A saved model by the name of its folder."""
-        if self.log.committed(name) is None:
+        commit = self.log.committed(name)
+        if commit is None:
             raise ValueError(f"no finished model {name} below {self.log.root}")
-        folder = self.log.folder(name)
         return SavedModel(
-            GBTRegressionModel.load(f"{folder}/trees"),
-            self.log.spark.read.schema("column string, label string, code long").parquet(f"{folder}/codes"),
+            GBTRegressionModel.load(f"{self.log.folder(commit)}/trees"),
+            self.log.spark.read.schema("column string, label string, code long").parquet(f"{self.log.folder(commit)}/codes"),
         )

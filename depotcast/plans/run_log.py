@@ -9,12 +9,17 @@ goes on where it stopped, and a changed parameter or input redoes its stage and
 A stage is redone in this order: the marker goes, the folder is written over, the new marker is
 renamed into place. Whatever happens in between, no marker stands beside a half-written result. One
 run at a time may write to an output folder.
+
+A ``shared`` log keeps results that are named by what they are made of (a model of certain rows, a
+copy of certain files). Several applications may make the same one at a time: each writes to a
+folder of its own, and the last marker counts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import asdict, dataclass, is_dataclass
 from datetime import date
@@ -56,20 +61,22 @@ class Commit:
     parameters: str
     inputs: dict[str, str]
     needs: dict[str, str]
+    path: str
     schema: str | None = None
 
 
 class RunLog:
     """The stages finished below ``root``; ``done`` and ``skipped`` name this run's."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, shared: bool = False):
+        self.spark, self.root, self.shared = spark, root.rstrip("/"), shared
         self.done: list[str] = []
         self.skipped: list[str] = []
         self._now: dict[str, str] = {}
 
-    def folder(self, stage: str) -> str:
-        return f"{self.root}/{stage}"
+    def folder(self, commit: Commit) -> str:
+        """Where a finished stage's result is."""
+        return f"{self.root}/{commit.path}"
 
     def _marker(self, stage: str) -> str:
         return f"{self.root}/{_MARKERS}/{stage}.json"
@@ -100,9 +107,10 @@ class RunLog:
         if known is not None and known.fingerprint == fingerprint:
             self.skipped.append(stage)
             return known
-        storage.delete(self.spark, self._marker(stage))
-        schema = write(self.folder(stage))
-        commit = Commit(stage, fingerprint, said, inputs, before, schema)
+        path = f"{stage}/{uuid.uuid4().hex}" if self.shared else stage
+        if not self.shared:
+            storage.delete(self.spark, self._marker(stage))
+        commit = Commit(stage, fingerprint, said, inputs, before, path, write(f"{self.root}/{path}"))
         storage.write_text(self.spark, self._marker(stage), json.dumps(asdict(commit), indent=1, ensure_ascii=False))
         self.done.append(stage)
         return commit
@@ -123,7 +131,7 @@ class RunLog:
             return df.schema.json()
 
         commit = self.artifact(stage, write, parameters, inputs, needs)
-        return self._read(self.folder(stage), T.StructType.fromJson(json.loads(commit.schema)))
+        return self._read(self.folder(commit), T.StructType.fromJson(json.loads(commit.schema)))
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(path)

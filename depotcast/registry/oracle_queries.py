@@ -6,10 +6,15 @@ aggregation, pairs formed and counted, windows over everything.
 
 from __future__ import annotations
 
-from depotcast.operators.features import COVARIATES, ENCODED_COLUMNS
-from depotcast.registry.spark_queries import MODEL
 from depotcast.sources.supplied import SCHEMAS
 
+# stated here once more, so that a slip in the engine's own constants shows
+_ENCODED = ("state", "city", "branch", "rank", "product", "urban_tier")
+_COVARIATES = (
+    "operational_total", "maintenance_total", "ready_total", "mech_total", "mech_present", "population", "month_number",
+)
+_TARGET_LAGS, _COVARIATE_LAGS, _HOLDOUT_MONTHS = 12, 6, 4
+
 _CLASSES = ("new", "semi", "used")
 
 # --- logical inputs -------------------------------------------------------------------
@@ -370,20 +375,20 @@ def _code(column: str) -> str:
 _CODES = "\nUNION ALL\n".join(
     f"SELECT '{c}' AS \"column\", label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS code "
     f"FROM (SELECT DISTINCT {_code(c)} AS label FROM recent)"
-    for c in ENCODED_COLUMNS
+    for c in _ENCODED
 )
 
 _LAGS = ",\n       ".join(
     [
         f"round(lag(ln(1 + value), {k}) OVER w, 6) AS value_lag_{k}"
-        for k in range(1, MODEL.target_lags + 1)
+        for k in range(1, _TARGET_LAGS + 1)
     ]
     + [
         f"round(CAST(lag({c}, {k}) OVER w AS DOUBLE), 6) AS {c}_lag_{k}"
-        for c in COVARIATES
-        for k in range(1, MODEL.covariate_lags + 1)
+        for c in _COVARIATES
+        for k in range(1, _COVARIATE_LAGS + 1)
     ]
-    + [f"CAST(dense_rank() OVER (ORDER BY {_code(c)}) - 1 AS BIGINT) AS {c}_code" for c in ENCODED_COLUMNS]
+    + [f"CAST(dense_rank() OVER (ORDER BY {_code(c)}) - 1 AS BIGINT) AS {c}_code" for c in _ENCODED]
 )
 
 _LAG_ROWS = f"""
@@ -391,13 +396,13 @@ SELECT branch, product, date, value, round(ln(1 + value), 6) AS label,
        {_LAGS}
 FROM (SELECT *, month(date) AS month_number FROM recent)
 WINDOW w AS (PARTITION BY branch, product ORDER BY date)"""
-_POPULATION_LAGS = [f"population_lag_{k}" for k in range(1, MODEL.covariate_lags + 1)]
+_POPULATION_LAGS = [f"population_lag_{k}" for k in range(1, _COVARIATE_LAGS + 1)]
 _TRAINING_ROWS = f"""
 SELECT * REPLACE ({", ".join(f"coalesce({c}, 0) AS {c}" for c in _POPULATION_LAGS)}),
        CASE WHEN population_lag_1 IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS population_missing,
-       CASE WHEN date < (SELECT date_trunc('month', max(date) - INTERVAL {MODEL.holdout_months} MONTH) FROM recent)
+       CASE WHEN date < (SELECT date_trunc('month', max(date) - INTERVAL {_HOLDOUT_MONTHS} MONTH) FROM recent)
             THEN 'train' ELSE 'holdout' END AS split
-FROM ({_LAG_ROWS}) WHERE value_lag_{MODEL.target_lags} IS NOT NULL"""
+FROM ({_LAG_ROWS}) WHERE value_lag_{_TARGET_LAGS} IS NOT NULL"""
 
 _COVARIATE_LIST = "operational_total, maintenance_total, ready_total, mech_total, mech_present, population"
 _FUTURE = f"""
@@ -682,7 +687,7 @@ SELECT date, branch, product, value, round(ln(1 + value), 6) AS value_log,
     "category_codes": _with(*_PANEL_CTES, RECENT, query=_CODES),
     "category_roundtrip": _with(
         *_PANEL_CTES, RECENT,
-        query=f"SELECT date, {', '.join(f'{_code(c)} AS {c}' for c in ENCODED_COLUMNS)} FROM recent",
+        query=f"SELECT date, {', '.join(f'{_code(c)} AS {c}' for c in _ENCODED)} FROM recent",
     ),
     "lag_features": _with(*_PANEL_CTES, RECENT, query=_LAG_ROWS),
     "training_rows": _with(*_PANEL_CTES, RECENT, query=_TRAINING_ROWS),
