@@ -21,7 +21,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import asdict, dataclass, is_dataclass
+from dataclasses import asdict, dataclass, fields, is_dataclass
 from datetime import date
 from typing import Any
 
@@ -82,9 +82,12 @@ class RunLog:
         return f"{self.root}/{_MARKERS}/{stage}.json"
 
     def committed(self, stage: str) -> Commit | None:
-        """The marker of a stage, if its result is whole."""
+        """The marker of a stage, if its result is whole. A marker of another version says nothing."""
         path = self._marker(stage)
-        return Commit(**json.loads(storage.read_text(self.spark, path))) if storage.exists(self.spark, path) else None
+        if not storage.exists(self.spark, path):
+            return None
+        said = json.loads(storage.read_text(self.spark, path))
+        return Commit(**said) if set(said) == {f.name for f in fields(Commit)} else None
 
     def stages(self) -> list[str]:
         """All finished stages, of this and of earlier runs."""

@@ -168,6 +168,8 @@ def test_a_failed_stage_leaves_no_marker(spark, tmp_path):
         log.table("x", lambda: spark.range(2).select(F.raise_error(F.lit("no such day"))), 2)
     assert log.committed("x") is None and log.stages() == []
     assert log.table("x", lambda: spark.range(4), 1).count() == 4
+    storage.write_text(spark, f"{tmp_path}/_committed/x.json", '{"stage": "x"}')  # of another version
+    assert log.committed("x") is None and log.table("x", lambda: spark.range(5), 1).count() == 5
 
 
 def test_a_span_is_scanned_once_for_a_set_of_files(spark, tmp_path, monkeypatch):
