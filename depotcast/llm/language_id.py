@@ -38,7 +38,7 @@ WORD_BOUND = 8.0
 #: Score of a word for a language that its script rules out: no path goes there while another way is open.
 EXCLUDED = -1e6
 #: Words whose scores a worker keeps (some 150 bytes each).
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 #: Words, or parts of long ones, that are scored at a time.
 PARTS_AT_ONCE = 4096
 #: Words that a path is followed over at a time.
