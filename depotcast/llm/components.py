@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotcast.llm.common import stored
+from depotcast.llm.common import forget, stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(),
         "links",
     )
+    first, later = current, []
     alone = current.where("a = b").select(F.col("a").alias("node")).distinct()
     current = current.where("a < b")
     before = _state(current)
@@ -47,8 +48,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             around.where("v > u").join(smallest, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "links"
         )
         # small star: u and its neighbours below go under the smallest of them
-        lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(stored(lowest, "stars"), "b").select(
+        lowest = stored(large.groupBy("b").agg(F.min("a").alias("m")), "stars")
+        small = large.join(lowest, "b").select(
             F.explode(
                 F.array(
                     F.struct(F.col("m").alias("a"), F.col("b").alias("b")),
@@ -57,14 +58,19 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             ).alias("link")
         )
         current = stored(small.select("link.*").where("a < b").distinct(), "links")
+        forget(smallest, large, lowest, *later)
+        later = [current]
         after = _state(current)
         if after == before:
             break
         before = after
     # a star forest: every node but the smallest has one link
-    return (
+    found = stored(
         current.select(F.col("b").alias("node"), F.col("a").alias("component"))
         .union(current.select("a", "a").distinct())
         .union(alone.select("node", F.col("node")))
-        .groupBy("node").agg(F.min("component").alias("component"))
+        .groupBy("node").agg(F.min("component").alias("component")),
+        "components",
     )
+    forget(first, *later)
+    return found

@@ -78,3 +78,42 @@ def test_the_plan_reaches_its_recall_and_does_not_grow_with_the_table():
         p = embedding_dedup.plan(n, 0.3)
         near = (1 - 0.3 / math.pi) ** p.bits * math.erf(embedding_dedup.WIDTH / math.sqrt(2))
         assert embedding_dedup._tail(p.lines, near, p.count) >= embedding_dedup.RECALL and n / 2**p.bits <= embedding_dedup.SIDE_SHARE
+
+
+def test_copies_behind_other_leaders_are_few_balls(spark, monkeypatch):
+    """Exact and near copies with the largest ids of their label: no pairs of theirs are formed."""
+    rng = np.random.default_rng(8)
+    others, centre = rng.standard_normal((600, 32)), rng.standard_normal(32)
+    near = centre + 0.002 * rng.standard_normal((300, 32)) * np.linalg.norm(centre) / math.sqrt(32)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate([*others, *near])] + [(1000 + k, centre.tolist(), 1) for k in range(300)]
+    seen = []
+    plain = embedding_dedup._collisions
+    monkeypatch.setattr(embedding_dedup, "_collisions", lambda balls, plan_: seen.append(balls.count()) or plain(balls, plan_))
+    assert result(spark, rows) == all_pairs(rows, 0.98)
+    assert seen[0] <= 600 + 60  # of 601 different places, not 1200 rows
+
+
+def test_rows_that_share_a_key_share_one_result(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (3, [0.0, 1.0], 1), (0, [1.0, 0.0], 1)]
+    table = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
+    got = sorted({tuple(r) for r in embedding_dedup.near_duplicates(table).collect()})
+    assert [r for r in got if r[0] == 1] == [(1, 2, 0, False)]
+
+
+def test_recall_at_the_threshold_among_many_vectors_of_a_label(spark):
+    """12,000 vectors of one label with 3000 pairs at cosines from 0.98 to 0.985, against all pairs."""
+    rng = np.random.default_rng(9)
+    one = rng.standard_normal((12_000, 32))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    for k in range(3000):
+        across = rng.standard_normal(32)
+        across -= across @ one[2 * k] * one[2 * k]
+        cosine = rng.uniform(0.98005, 0.985)
+        one[2 * k + 1] = cosine * one[2 * k] + math.sqrt(1 - cosine**2) * across / np.linalg.norm(across)
+    one = one.astype(np.float32)
+    wide = one.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    want = np.concatenate([(wide[i : i + 2000] @ wide.T >= 0.98).sum(axis=1) - 1 for i in range(0, len(wide), 2000)])
+    got = result(spark, [(k, v.tolist(), 1) for k, v in enumerate(one)])
+    found = np.array([got[k][0] for k in range(len(one))])
+    assert want.sum() >= 6000 and (found <= want).all() and found.sum() >= 0.999 * want.sum()
