@@ -30,13 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotcast.llm.common import forget, fresh, stored
+from depotcast.llm.caches import in_slices, release
+from depotcast.llm.common import forget, fresh, ship_package, stored
 
 WINDOW = 13
 #: Words of an anchor.
 ANCHOR = 6
 #: Edges of a path at most.
 PATH = 8
+#: Spans of a source that are asked for together, about.
+ASKED = 4096
 #: Text bytes hashed at a time.
 STEP = 1 << 20
 
@@ -120,17 +123,18 @@ def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 
 def _anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, anchor): one row per document and different anchor."""
-    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("anchor", T.LongType())])
+    """(key, tid, anchor): one row per document and different anchor."""
+    schema = T.StructType([docs.schema["key"], T.StructField("tid", T.LongType()), T.StructField("anchor", T.LongType())])
 
     def emit(batches):
-        for batch in batches:
+        release()
+        for batch in in_slices(batches, "text"):
             found = [np.unique(window_anchors(word_hashes(x), window, anchor)) for x in batch.column("text").to_pylist()]
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             anchors = np.concatenate(found) if found else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), pa.array(anchors.view(np.int64))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner)), batch.column("tid").take(pa.array(owner)), pa.array(anchors.view(np.int64))], names=schema.names)
 
-    return docs.select("key", "text").mapInArrow(emit, schema)
+    return docs.mapInArrow(emit, schema)
 
 
 def _path_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -142,7 +146,8 @@ def _path_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     )
 
     def emit(batches):
-        for batch in batches:
+        release()
+        for batch in in_slices(batches, "text"):
             texts, wanted = batch.column("text").to_pylist(), batch.column("anchors")
             owners, places, sizes, ids, anchors, edges = [], [], [], [], [], []
             for row, text in enumerate(texts):
@@ -203,10 +208,13 @@ def _source_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     first word, its number of words, and the source's key, tid and first word."""
     anchors = stored(_anchor_rows(docs, window, anchor), "anchors")
     repeated = stored(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "repeated")
-    wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    # the anchors of one text: rows that share a key, or have none, don't meet
+    wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("key", "tid").agg(F.collect_set("anchor").alias("anchors"))
     wanted = stored(wanted, "wanted")
     forget(anchors, repeated)
-    candidates = docs.join(wanted.withColumnRenamed("key", "doc"), F.col("key").eqNullSafe(F.col("doc"))).drop("doc")
+    candidates = docs.join(
+        wanted.withColumnsRenamed({"key": "doc", "tid": "of"}), F.col("key").eqNullSafe(F.col("doc")) & F.col("tid").eqNullSafe(F.col("of"))
+    ).drop("doc", "of")
     paths = stored(_path_rows(candidates, window, anchor), "paths")
     forget(wanted)
 
@@ -254,6 +262,7 @@ def _joined_runs(grouped: DataFrame, window: int) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(T.ArrayType(span))
+        release()
         for batch in batches:
             out = []
             for runs in batch.column("runs").to_pylist():
@@ -282,14 +291,22 @@ def _source_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
     asked = one.select(
         F.col("span.source").alias("key"), F.col("span.source_tid").alias("tid"), F.col("span.source_first").alias("first"), F.col("span.words").alias("words")
     ).distinct()
-    per_source = asked.groupBy("key", "tid").agg(F.collect_list(F.struct("first", "words")).alias("asked"))
+    # a source that very many documents quote in different cuts is asked in slices, each with its text
+    many = asked.groupBy("key", "tid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ASKED)
+    slices = F.coalesce(F.ceil(F.col("n") / ASKED), F.lit(1))
+    per_source = (
+        asked.join(many, ["key", "tid"], "left")
+        .groupBy("key", "tid", F.pmod(F.xxhash64("first", "words"), slices).alias("slice"))
+        .agg(F.collect_list(F.struct("first", "words")).alias("asked")).drop("slice")
+    )
     schema = T.StructType(
         [T.StructField("source", docs.schema["key"].dataType), T.StructField("source_tid", T.LongType()), T.StructField("source_first", T.LongType()),
          T.StructField("words", T.LongType()), T.StructField("digest", T.BinaryType())]
     )
 
     def answer(batches):
-        for batch in batches:
+        release()
+        for batch in in_slices(batches, "text"):
             keys, tids, texts, asked_of = (batch.column(n) for n in ("key", "tid", "text", "asked"))
             owner, first, count, digest = [], [], [], []
             for row, (text, wanted) in enumerate(zip(texts.to_pylist(), asked_of.to_pylist(), strict=True)):
@@ -331,6 +348,7 @@ def remove_repeats(
     """
     if into in docs.columns:
         raise ValueError(f"the documents already have a column {into}")
+    ship_package(docs.sparkSession)
     narrow = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tid"), F.col(text).cast("binary").alias("text"))
     spans = _source_digests(narrow, _source_spans(narrow, window, anchor))
     names = [fresh(docs.columns, n) for n in ("repeat_tid", "repeat_key", "repeat_of", "repeat_spans", "repeat_work")]
@@ -344,7 +362,8 @@ def remove_repeats(
         from pyspark.sql.pandas.types import to_arrow_type
 
         kind = to_arrow_type(RESULT)
-        for batch in batches:
+        release()
+        for batch in in_slices(batches, text):
             rows = []
             texts = batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist()
             for x, spans_of in zip(texts, batch.column(batch.schema.names.index(found)).to_pylist(), strict=True):
