@@ -12,7 +12,7 @@ from depotcast.llm import (
     byte_bpe, chat, clustering, decontaminate, embedding_dedup, filter_audit, language_id, license_scan, sharding, simhash,
     substring_dedup, token_counts, token_files,
 )
-from depotcast.llm.common import scratch_folder, stored, table
+from depotcast.llm.common import forget, scratch_folder, stored, table
 
 #: Appended to every document by ``op1_token_files``.
 END_ID = 1
@@ -83,19 +83,40 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Versions that ``op6_token_counts`` counts: kind, file and pattern.
+#: Versions that ``op6_token_counts`` counts: kind, file and pattern. ``words-2`` follows ``words-1``.
 TOKENIZERS = {
     "byte_bpe_50k": ("ranks", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
     "words-1": ("words", None, None),
+    "words-2": ("pattern", None, r"[\p{L}\p{N}]+"),
 }
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of all documents, loaded as a batch of inserts that is then sent once more."""
-    docs = table(spark, sf_dir, "documents")
+    """Totals of all documents but the toxic ones of low quality, from signed batches.
+
+    All documents are loaded; all counts of the first word tokenizer are revised to its next version;
+    toxic documents are deleted; those of them that are of good quality come back; deltas are
+    compacted in between, and every batch is sent twice.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counted = stored(token_counts.count_tokens(docs, TOKENIZERS, keep=["doc_id"]), "counted")
+    first, second = (counted.where(F.col("tokenizer") == v) for v in ("words-1", "words-2"))
+    present = counted.where(F.col("tokenizer") != "words-1")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    good = labels.where("toxic = 1 and quality = 1").select("doc_id").distinct()
     totals = token_counts.Rollup(spark, scratch_folder(spark, "token-counts"))
-    for _ in range(2):  # the second time changes nothing
-        totals.commit("load-1", token_counts.inserts(token_counts.count_tokens(docs, TOKENIZERS)))
+    batches = {
+        "load": token_counts.inserts(counted.where(F.col("tokenizer") != "words-2")),
+        "next-version": token_counts.revisions(first, second),
+        "toxic": token_counts.deletes(present.join(toxic, "doc_id", "left_semi")),
+        "restored": token_counts.inserts(present.join(good, "doc_id", "left_semi")),
+    }
+    for k, (name, changes) in enumerate(batches.items()):
+        for _ in range(2):  # the second time changes nothing
+            totals.commit(name, changes)
+        if k == 1:
+            totals.compact("1")
+    forget(counted)
     return totals.totals()
 
 
