@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -194,6 +196,23 @@ def test_repeats_equal_brute_force(spark, seed):
         assert [tuple(got[i]) for i in range(len(rows))] == without_repeats(rows, size)
 
 
+def test_a_much_quoted_source_and_one_key_for_many_rows(spark, monkeypatch):
+    """Very many different cuts of one document are asked for in slices; a third of the rows share a key, another has none."""
+    monkeypatch.setattr(substring_dedup, "ASKED", 7)
+    rng = random.Random(4)
+    source = [f"s{i}" for i in range(400)]
+    cut = lambda: (lambda a, n: " ".join(source[a : a + n]))(rng.randrange(380), rng.randrange(5, 60))
+    rows = [(0, " ".join(source))] + [(i, f"own{i} {cut()} mid{i} {cut()} end") for i in range(1, 60)]
+    rows += [(70, f"{cut()} same key {i}") for i in range(40)] + [(None, f"{cut()} no key {i}") for i in range(40)]
+    table = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "row long, doc_id long, text string").repartition(5)
+    got = {r.row: r.cut for r in substring_dedup.remove_repeats(table, window=5, anchor=2, into="cut").collect()}
+    assert [tuple(got[i]) for i in range(len(rows))] == without_repeats(rows, 5)
+    # the anchors of rows that share a key, or have none, stay apart
+    narrow = table.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text"))
+    per_row = substring_dedup._anchor_rows(narrow, 5, 2).groupBy("key", "tid").agg(F.countDistinct("anchor").alias("n"))
+    assert per_row.agg(F.max("n")).first()[0] <= 400 and per_row.count() == len(rows)
+
+
 def test_texts_that_lose_nothing_stay_as_they_are(spark):
     body = " ".join(f"w{i}" for i in range(20))
     rows = docs_of(spark, [body + "  own", body, "x  y\n" + body + "  z", None, ""])
@@ -253,6 +272,59 @@ def test_scripts_and_spans_of_mixed_text(spark, model):
     assert kept.columns == docs_of(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 6]
 
 
+def plain_scores(rows, word):
+    """A word's scores by language, letter sequence by letter sequence, from the labelled texts themselves."""
+    grams, scripts = {}, {}
+    for lang, text in rows:
+        for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            scripts.setdefault(language_id.script_of(w), set()).add(lang)
+            for g in language_id.grams_of(w):
+                grams.setdefault(lang, []).append(g)
+    langs = sorted(grams)
+    kinds = len({g for x in grams.values() for g in x}) + 1
+    allowed = scripts.get(language_id.script_of(word), set())
+    if not allowed:
+        return [0.0] * len(langs)
+    sums = {x: sum(math.log2((grams[x].count(g) + 0.5) / (len(grams[x]) + 0.5 * kinds)) for g in language_id.grams_of(word)) for x in allowed}
+    return [max(sums[x] - max(sums.values()), -language_id.WORD_BOUND) if x in allowed else language_id.EXCLUDED for x in langs]
+
+
+def test_word_scores_labels_and_spans_equal_brute_force(spark):
+    rows = [("en", "the quiet garden and a house, the thing"), ("en", "good morning dear world"), ("fr", "bonjour le monde, une belle journée"),
+            ("el", "καλημέρα κόσμε φίλε"), ("ru", "привет дорогой мир и мир"), ("ru", "ok")]
+    model = language_id.fit(spark.createDataFrame(rows * 3, "lang string, text string"))  # copies teach once
+    words = ["garden", "monde", "journée", "κόσμε", "мир", "ok", "zzz", "日本", "gardenмир"]
+    got = model.scores(words)
+    assert np.allclose(got, [plain_scores(rows, w) for w in words])
+    # one foreign word among others has a span of its own, and excluded languages never win
+    texts = ["the quiet garden мир and the house", "привет мир κόσμε дорогой мир", "日本 the garden 日本"]
+    for r in language_id.identify(docs_of(spark, texts), model, into="found").collect():
+        own = [plain_scores(rows, w) for w in texts[r.doc_id].split()]
+        best = max(
+            itertools.product(range(4), repeat=len(own)),
+            key=lambda path: sum(s[p] for s, p in zip(own, path)) - language_id.SWITCH * sum(a != b for a, b in zip(path, path[1:])),
+        )
+        path = [lang for s in r.found.spans for lang in [s.lang] * s.n_words]
+        assert path == [model.languages[p] for p in best]
+        letters = Counter()
+        for lang, w in zip(path, texts[r.doc_id].split()):
+            letters[lang] += len(w)
+        assert r.found.lang == max(letters, key=letters.get)
+
+
+def test_training_draws_exactly_and_keeps_every_language(spark):
+    rows = [("hot", f"copy of one of few texts {i % 3}") for i in range(3000)] + [("en", f"text {i}") for i in range(700)] + [("rare", "una parola")]
+    labelled = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    drawn = language_id._drawn(labelled, 50).collect()
+    assert Counter(r.lang for r in drawn) == {"hot": 3, "en": 50, "rare": 1} and len({(r.lang, r.text) for r in drawn}) == len(drawn)
+    smallest = labelled.where("lang = 'en'").orderBy(F.xxhash64("text")).limit(50).collect()
+    assert {r.text for r in drawn if r.lang == "en"} == {r.text for r in smallest}
+
+
+def test_script_of_a_long_word_is_that_of_all_its_letters():
+    assert language_id.script_of("a" * 64 + "日" * 100) == "han" and language_id.script_of("ab日本") == "latin"
+
+
 def test_odd_texts_and_no_training_rows(spark, model):
     assert language_id.identify(docs_of(spark, ODD), model).count() == len(ODD)
     nothing = language_id.fit(docs_of(spark, ["x"]).limit(0))
@@ -312,6 +384,93 @@ def test_public_notices_are_found(spark):
     assert license_scan.find_licenses(docs_of(spark, []).limit(0)).collect() == []
 
 
+def plain_text(source, words=("The", "Authors")):
+    """A license text as one of its accepted wordings: optional regions in, replaceable ones filled."""
+    return re.sub(r"<<var;match=\d+>>", " ".join(words), re.sub(r"<<(begin|end)Optional>>", "", source))
+
+
+def test_whole_texts_score_most_and_altered_ones_do_not(spark):
+    texts, want = [], []
+    for label, source in license_scan.TEXTS:
+        whole = plain_text(source)
+        optional_out = re.sub(r"<<beginOptional>>.*?<<endOptional>>", "", source, flags=re.S)
+        for body in (whole, "Copyright 2020 X\n" + whole.upper() + ". The end", plain_text(optional_out, ["X"])):
+            texts.append(body)
+            want.append((label, True))
+        words = whole.split()
+        for at in (3, 12, len(words) - 2):  # mandatory ones: a word more, a word less, another word
+            texts += [" ".join([*words[:at], "never", *words[at:]]), " ".join(words[:at] + words[at + 1 :]), " ".join([*words[:at], "qqq", *words[at + 1 :]])]
+            want += [(label, False)] * 3
+    texts.append("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+                 "(the \"Software\"), to deal in the Software without restriction, except that nobody may use it commercially")
+    want.append(("mit", False))
+    got = {r.doc_id: r.licenses for r in license_scan.find_licenses(docs_of(spark, texts)).collect()}
+    for i, (label, real) in enumerate(want):
+        full = {m.label for m in got[i].matches if m.score == license_scan.TEXT_SCORE}
+        assert (got[i].score == 1.0) == real and full == ({label} if real else set()), (i, label)
+
+
+def accepted(source, words, at):
+    """All ends of runs from ``at``, by trying every way through the markup."""
+    parts = license_scan._MARKUP.split(source)
+
+    def run(k, at, skipping):
+        if k == len(parts):
+            yield at
+        elif k % 2 and parts[k] == "beginOptional":
+            yield from run(k + 1, at, skipping)
+            depth, j = 1, k + 2
+            while depth:
+                depth += {"beginOptional": 1, "endOptional": -1}.get(parts[j], 0)
+                j += 2
+            yield from run(j - 1, at, skipping)
+        elif k % 2 and parts[k].startswith("var"):
+            for n in range(int(parts[k].rpartition("=")[2]) + 1):
+                if at + n <= len(words):
+                    yield from run(k + 1, at + n, skipping)
+        elif k % 2:
+            yield from run(k + 1, at, skipping)
+        else:
+            own = normal_words(parts[k])
+            if words[at : at + len(own)] == own:
+                yield from run(k + 1, at + len(own), skipping)
+
+    return run(0, at, False)
+
+
+def test_templates_equal_trying_every_way_through(spark):
+    rng = random.Random(6)
+    marks = ["<<beginOptional>>a<<endOptional>>", "<<beginOptional>>b <<beginOptional>>a<<endOptional>> c<<endOptional>>", "<<var;match=2>>", "a", "b", "c b"]
+    for _ in range(300):
+        source = " ".join(["a", *rng.choices(marks, k=rng.randint(1, 4)), rng.choice("abc")])
+        template, words = license_scan.Template("t", source), rng.choices("abcd", k=12)
+        for at in range(12):
+            assert template.end(words, at) == min(accepted(source, words, at), default=None)
+
+
+def test_a_very_long_text_of_phrases_takes_time_in_proportion():
+    import time
+
+    scanner = license_scan.Scanner()
+    seconds = []
+    for times in (20_000, 200_000):
+        text = b"under the mit license " * times  # 0.4 and 4.4 MB
+        start = time.process_time()
+        n, places, matches = scanner.scan(text)
+        seconds.append(time.process_time() - start)
+        assert n == 4 * times and [p for p, _ in places] == list(range(0, n, 4)) and len(matches) == times
+    assert seconds[1] < 30 * max(seconds[0], 0.05)
+
+
+def test_two_benchmarks_in_one_session_do_not_mix(spark):
+    docs = docs_of(spark, [f"alpha beta gamma {x}" for x in ("one two three", "four five six")] * 20).repartition(2)
+    for _ in range(3):
+        for words, other in (("one two three", "four five six"), ("four five six", "one two three")):
+            benchmark = spark.createDataFrame([(words, words)], "item_id string, text string")
+            got = decontaminate.find_leaks(docs, benchmark, window=3, into="found").collect()
+            assert all((r.found["items"] == [words]) == (words in r.text) and (r.found["n_hit"] == 0) == (other in r.text) for r in got)
+
+
 def test_digest_of_no_items(spark, small):
     r = registry.op2_decontamination(spark, small).where("n_items = 0").first()
     assert r.items_sha256 == hashlib.sha256(b"").hexdigest() and not r.contaminated
