@@ -80,7 +80,8 @@ def active_restrictions(
         .groupBy("unit_id", F.col("snapshot_ts").cast("date").alias("opening"), "branch")
         .agg(F.count("unit_id").alias("snapshots"))
     )
-    in_force = _in_force_by_opening(restrictions, last_opening)
+    # a row per month in force: far more than the size of the restrictions tells, so never broadcast
+    in_force = _in_force_by_opening(restrictions, last_opening).hint("merge")
     return (
         openings.join(in_force, ["unit_id", "opening"], "left")
         .groupBy(F.date_sub("opening", 1).alias("month_end"), "branch", "description")

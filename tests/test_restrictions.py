@@ -75,3 +75,16 @@ def test_agrees_with_pairing_everything(spark):
     ]
     # a restriction without a description and no restriction at all share the NULL label
     assert run(spark, history, restrictions, (1, 2)) == brute_force(history, restrictions, (1, 2))
+
+
+def test_months_in_force_are_not_broadcast(spark):
+    one = spark.range(1)  # of known, small size
+    history = one.selectExpr("timestamp_ntz'2024-03-01 08:00' AS snapshot_ts", "'b' AS branch", "id AS unit_id", "1 AS status_id")
+    restrictions = one.selectExpr(
+        "id AS unit_id", "timestamp_ntz'2000-01-10' AS valid_from", "CAST(NULL AS timestamp_ntz) AS valid_to", "'open' AS description"
+    )
+    got = active_restrictions(history, restrictions, (1,))
+    # a few restrictions without an end are very many months: their size tells nothing
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [tuple(r) for r in got.collect()] == [(d("2024-02-29"), "b", "open", 1)]
