@@ -97,7 +97,8 @@ def _labelled_openings(
 
     With a ``span`` the days to keep are known beforehand. A condition of its own names them as
     ranges of the raw column, which is what reaches the file scan (and the list of partitions, where
-    the table has any); rows outside the span pass it, so that they can be reported.
+    the table has any); rows outside the span pass it, so that they can be reported. The ranges are
+    many, so a row meets them last: nearly all are dropped by the day of the month before.
     """
     moment = F.col("snapshot_ts")
     keep, label = is_month_opening(moment), F.date_sub(moment.cast("date"), 1)
@@ -114,6 +115,7 @@ def _labelled_openings(
         keep = keep & label.between(F.last_day(F.lit(first)), F.last_day(F.lit(months[1])))
     if span is None:
         return snapshots.filter(keep), label
+    timed = moment.isNotNull()  # no other condition then looks for nulls, once per range
     closed = [(x, x - timedelta(days=1)) for x in openings_between(*span)]
     closed += [(span[1], span[1])] if include_latest else []
     if months is None:
@@ -122,10 +124,10 @@ def _labelled_openings(
         elsewhere = on_days("snapshot_ts", days) if days else F.lit(False)
         stale = F.raise_error(F.lit(f"a snapshot lies outside {span[0]} to {span[1]}")).cast("date")
         label = F.when(outside, stale).otherwise(label)
-        return in_partitions(snapshots, days, span).filter(outside | elsewhere).filter(outside | keep), label
+        return in_partitions(snapshots, days, span).filter(timed & (outside | keep) & (outside | elsewhere)), label
     days = [day for day, month in closed if first <= month < last]
     elsewhere = on_days("snapshot_ts", days) if days else F.lit(False)
-    return in_partitions(snapshots, days).filter(elsewhere).filter(keep), label
+    return in_partitions(snapshots, days).filter(timed & keep & elsewhere), label
 
 
 def stock_month_end(

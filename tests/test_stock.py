@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import d, rows, ts
 from pyspark.sql import functions as F
@@ -254,3 +256,22 @@ def test_sites_give_the_same_stock_as_branches(spark):
     known = register(spark, {})
     assert rows(stock.stock_month_end(sited, known, LABELS, sites=sites)) == rows(stock.stock_month_end(placed, known, LABELS))
     assert rows(stock.stock_flow_sum(sited, known, LABELS, "X", sites=sites)) == rows(stock.stock_flow_sum(placed, known, LABELS, "X"))
+
+
+@pytest.mark.parametrize("months", [None, (d("2023-05-01"), d("2024-04-30"))])
+def test_rows_meet_the_day_of_the_month_before_the_ranges(spark, months):
+    """A row was held against the range of every month before anything cheap had dropped it."""
+    kept, _ = stock._labelled_openings(
+        snapshots(spark, {}).select("snapshot_ts"), True, (d("2020-01-01"), d("2024-06-15")), months
+    )
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    condition = next(x for x in plan.splitlines() if "Filter" in x)
+    a_range = "snapshot_ts#[0-9]+ >= 2023-07-01 00:00:00"
+    assert condition.index("isnotnull(snapshot_ts") < condition.index("dayofmonth(") < re.search(a_range, condition).start()
+
+
+def test_a_snapshot_without_a_moment_is_in_no_month(spark):
+    given = snapshots(spark, {"snapshot_ts": None}, {"snapshot_ts": ts("2024-02-01 07:30")}, {"snapshot_ts": ts("2024-02-03")})
+    for months in (None, (d("2024-01-01"), d("2024-01-31"))):
+        kept, label = stock._labelled_openings(given, False, (d("2024-01-01"), d("2024-02-03")), months)
+        assert [r[0] for r in kept.select(label).collect()] == [d("2024-01-31")]
