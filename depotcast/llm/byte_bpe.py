@@ -69,10 +69,20 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {i: b for b, i in ranks.items()}
+        whole = len(self.bytes_of) == max(self.bytes_of, default=-1) + 1  # a token for every id up to the last
+        self.table = pa.array(map(self.bytes_of.__getitem__, range(len(self.bytes_of))), pa.large_binary()) if whole else None
 
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes of little-endian 32-bit ids; None has none."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, ID).tolist())) if ids else b""
+        if not ids:
+            return b""
+        numbers = np.frombuffer(ids, ID)
+        if self.table is None:
+            return b"".join(map(self.bytes_of.__getitem__, numbers.tolist()))
+        if numbers.max() >= len(self.table):
+            raise KeyError(int(numbers.max()))
+        _, _, data = self.table.take(pa.array(numbers)).buffers()  # the tokens one after the other
+        return data.to_pybytes()
 
 
 class ByteBPE:

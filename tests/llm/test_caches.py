@@ -36,3 +36,16 @@ def test_slices_hold_all_rows_in_order():
         for s in slices:
             sizes = [len((x or "").encode()) for x in s.column("text").to_pylist()]
             assert sum(sizes) <= most or sum(x > 0 for x in sizes) == 1
+
+
+def test_a_lookup_goes_by_the_pieces_asked_for():
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("all of the old generation was gone through")
+
+    cache = caches.PieceCache(1)
+    cache.add(["a", "b", "c"], [b"1", b"2", b"3"])
+    cache.end_group()
+    cache.old = Old(cache.old)
+    assert cache.missing({"b", "x"}) == ["x"]
+    assert cache.young == {"b": b"2"}

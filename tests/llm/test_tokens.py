@@ -260,3 +260,19 @@ def test_counts_of_odd_texts(spark, library):
         text = ODD[r.doc_id] or ""
         want = {"byte_bpe_50k": len(library.encode_ordinary(text)), "words-1": len(text.encode().split()), "words-2": len(regex.findall(r"[\p{L}\p{N}]+", text))}
         assert r.n_tokens == want[r.tokenizer]
+
+
+def test_decoding_with_and_without_gaps_in_the_ranks():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257}
+    gaps = byte_bpe.Decoder({**ranks, b"far": 4_000_000_000})
+    whole = byte_bpe.Decoder(ranks)
+    assert whole.table is not None and gaps.table is None
+    ids = [257, 0, 256, 255, 97] * 50
+    for decoder in (whole, gaps):
+        for n in (0, 1, 2, 3, 250):
+            want = b"".join(decoder.bytes_of[i] for i in ids[:n])
+            assert decoder.decode(np.array(ids[:n], "<u4").tobytes()) == want
+        assert decoder.decode(None) == b""
+        with pytest.raises(KeyError):
+            decoder.decode(np.array([258], "<u4").tobytes())
+    assert gaps.decode(np.array([4_000_000_000], "<u4").tobytes()) == b"far"
