@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from depotcast.config import StockLabels
 from depotcast.contracts import STOCK_SNAPSHOT, placed_by, require
 from depotcast.functions.dates import (
+    MONTH_PARTITION,
     between_days,
     closing_month_end,
     in_partitions,
@@ -124,7 +125,9 @@ def _labelled_openings(
         elsewhere = on_days("snapshot_ts", days) if days else F.lit(False)
         stale = F.raise_error(F.lit(f"a snapshot lies outside {span[0]} to {span[1]}")).cast("date")
         label = F.when(outside, stale).otherwise(label)
-        return in_partitions(snapshots, days, span).filter(timed & (outside | keep) & (outside | elsewhere)), label
+        kept = in_partitions(snapshots, days, span).filter(timed & (outside | keep))
+        # partitions by month have told which files to read: no ranges there
+        return kept if MONTH_PARTITION in snapshots.columns else kept.filter(outside | elsewhere), label
     days = [day for day, month in closed if first <= month < last]
     elsewhere = on_days("snapshot_ts", days) if days else F.lit(False)
     return in_partitions(snapshots, days).filter(timed & keep & elsewhere), label
